@@ -56,13 +56,12 @@ def typed_words(text: Column) -> Column:
 
 
 def reference_keys(canonical: DataFrame) -> DataFrame:
-    """(level, canon_id, key, fuzzy) of every way to write a reference entry.
+    """(level, key, canon_id, whole) of every way to write a reference entry.
 
     Names and aliases in any rotation of their words, also with one or two
     words abbreviated to a prefix and a dot, or with the words between an
-    abbreviated first and the last left out. A key
-    that means several entries of one level is dropped for all but the one
-    whose name it is.
+    abbreviated first and the last left out (``whole`` is false). A key that
+    means several entries of one level is dropped.
     """
     texts = canonical.select("level", F.col("canon_id").cast("int").alias("canon_id"), F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("text"))
     found = F.regexp_extract_all(_plain(F.col("text")), F.lit(r"(\p{L}[\p{L}\p{M}]*)"), 1)
@@ -95,14 +94,15 @@ def _segments(keys: DataFrame) -> DataFrame:
     sized = keys.withColumn("k", k).filter("k > 0").withColumn("n", F.length("key"))
     cut_at = lambda j: F.floor(F.col("n") * j / (F.col("k") + 1)).cast("int")
     parts = sized.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k"))))
-    return parts.select("level", F.col("key").alias("ref"), "canon_id", "k", "n", cut_at(F.col("j")).alias("at"),
+    return parts.select("level", (~F.col("whole")).alias("dotted"), F.col("key").alias("ref"), "canon_id", "k", "n", cut_at(F.col("j")).alias("at"),
                         F.col("key").substr(cut_at(F.col("j")) + 1, cut_at(F.col("j") + 1) - cut_at(F.col("j"))).alias("segment"))
 
 
 def closest(typed: DataFrame, keys: DataFrame) -> DataFrame:
     """(level, key, canon_id, d) of typed keys within k edits of a reference key.
 
-    The closest reference wins; keys equally close to several entries of the
+    Abbreviated keys are held against abbreviated references, others against
+    whole ones. The closest reference wins; keys equally close to several entries of the
     level are left unmatched.
     """
     segments = cut(_segments(keys))
@@ -112,8 +112,8 @@ def closest(typed: DataFrame, keys: DataFrame) -> DataFrame:
     places = lambda n: F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("key") - (n - 1)))
     piece = lambda n: lambda p: F.struct((p - 1).alias("at"), F.col("key").substr(p, F.lit(n)).alias("segment"))
     subs = F.flatten(F.array(*[F.transform(places(n), piece(n)) for n in lens]))
-    pieces = typed.select("level", "key", F.explode(subs).alias("s")).select("level", "key", F.col("s.at").alias("q_at"), F.col("s.segment").alias("segment"))
-    near = pieces.join(segments, ["level", "segment"]).filter(
+    pieces = typed.select("level", "key", F.explode(subs).alias("s")).select("level", "key", F.col("key").contains(".").alias("dotted"), F.col("s.at").alias("q_at"), F.col("s.segment").alias("segment"))
+    near = pieces.join(segments, ["level", "dotted", "segment"]).filter(
         (F.abs(F.col("at") - F.col("q_at")) <= F.col("k")) & (F.abs(F.length("key") - F.col("n")) <= F.col("k")))
     pairs = near.select("level", "key", "ref", "canon_id", "k").distinct()
     verified = pairs.withColumn("d", F.levenshtein("key", "ref")).filter("d <= k")
