@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldtrace.llm import copies as C
 from fieldtrace.llm import encode as E
+from fieldtrace.llm import items as I
 from fieldtrace.llm import mapping as M
 from fieldtrace.llm import packing as P
+from fieldtrace.operators.skew import salted_join
 from fieldtrace.runtime import cut, table
 
 
@@ -35,6 +37,17 @@ def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.unmatched(rows, ["category", "subcategory"], table(spark, sf_dir, "canonical_categories"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.item_pairs(I.same_items(table(spark, sf_dir, "products")))
+
+
+def p4_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each listing with the id of its item, the item's least listing, and its number of links."""
+    items = cut(I.same_items(table(spark, sf_dir, "products")))
+    sizes = items.groupBy("item").agg(F.min("listing_id").alias("item_id"), (F.count("*") - 1).alias("links"))
+    return salted_join(items, sizes, "item", "inner").select("listing_id", "item_id", "links")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -49,6 +62,6 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.fill_report(p8_packed(spark, sf_dir), table(spark, sf_dir, "token_budgets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_unmatched, p7_ids, p8_packed, p8_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_unmatched, p4_found, p4_items, p7_ids, p8_packed, p8_report)}
 
 SQL: dict[str, str] = {}
