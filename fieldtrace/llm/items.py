@@ -63,7 +63,7 @@ _UNIT = "|".join(sorted(UNITS, key=len, reverse=True))
 _COLOUR = {w: c for c, ws in COLOURS.items() for w in ws}
 _VARIANT, _COMPANY, _OTHER = set(VARIANTS), set(COMPANY), set(OTHER_KEYS)
 _WORDS = re.compile(r"[^\W_]+")
-_SIZE = re.compile(rf"(?<![\w.,/-])(\d+(?:[.,]\d+)?)[\s ]*({_UNIT})(?![^\W_])", re.I)
+_SIZE = re.compile(rf"(?<![\w.,/-])(\d+(?:[.,]\d+)?)[\s ]*({_UNIT})(?![^\W_])(?<!in(?=\s[^\W\d_]))", re.I)
 _SPLIT_SIZE = re.compile(rf"(?<![\w.,])(\d) (\d) ?(kw|m|kg|l|ltr|litre)(?![^\W_])", re.I)
 _PART_NO = re.compile(rf"(?<![^\W_])(?:(?=[a-z]*\d)(?=\d*[a-z])[a-z0-9]{{3}}-[a-z0-9]{{3}}|[a-z0-9]{{2}}[ -](?!\d+(?:{_UNIT})(?![^\W_]))(?=[a-z0-9]*[a-z])(?=[a-z]*\d)[a-z0-9]{{4}})(?![^\W_])", re.I)
 _LINE = re.compile(r"(?<![^\W\d_])([^\W\d_]{5,})[\s®©™·/_–—-]*(\d{3,4})(?![^\W_])")
