@@ -9,6 +9,7 @@ from fieldtrace.llm import encode as E
 from fieldtrace.llm import items as I
 from fieldtrace.llm import mapping as M
 from fieldtrace.llm import packing as P
+from fieldtrace.llm import spam as S
 from fieldtrace.operators.skew import salted_join
 from fieldtrace.runtime import cut, table
 
@@ -62,6 +63,20 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.fill_report(p8_packed(spark, sf_dir), table(spark, sf_dir, "token_budgets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_unmatched, p4_found, p4_items, p7_ids, p8_packed, p8_report)}
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "url")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.spam_pages(_pages(spark, sf_dir))
+
+
+def p9_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, spam pages and smoothed rate of each host."""
+    scored = S.score_pages(_pages(spark, sf_dir)).filter("host is not null")
+    return scored.groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("score") >= S.THRESHOLD).alias("spam_pages"), F.round(F.max("host_rate"), 6).alias("host_rate"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_unmatched, p4_found, p4_items, p7_ids, p8_packed, p8_report, p9_found, p9_hosts)}
 
 SQL: dict[str, str] = {}
