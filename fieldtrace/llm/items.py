@@ -96,7 +96,7 @@ def _find_size(text: str) -> str | None:
 
 
 def _find_line(text: str, how: re.Pattern = _LINE) -> tuple[str, str] | None:
-    return next(((m[1], m[2]) for m in how.finditer(text) if m[1] not in _COLOUR), None)
+    return next(((m[1], m[2]) for m in how.finditer(text) if m[1] not in _COLOUR and m[1] not in _VARIANT), None)
 
 
 def _entries(specs: str | None) -> dict[str, str]:
