@@ -53,8 +53,13 @@ def words(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), 1), " ")
 
 
+def folded(text: Column) -> Column:
+    """Lower case with the folds that occur in the corpus' languages."""
+    return F.replace(F.translate(F.lower(text), "ς", "σ"), F.lit("ß"), F.lit("ss"))
+
+
 def word_list(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1)
+    return F.regexp_extract_all(folded(text), F.lit(r"([\p{L}\p{N}_]+)"), 1)
 
 
 def ascii_words(text: Column) -> Column:
