@@ -18,13 +18,17 @@ def wilson_lower(correct: Column, accepted: Column, z: float = Z95) -> Column:
 
 
 def rescale(probabilities: Column, temperature: Column | float) -> Column:
-    """Softmax of log probabilities over the temperature, as a new map."""
+    """Softmax of log probabilities over the temperature, as a new map.
+
+    exp(ln p / t) is p to the power 1/t; clamped probabilities keep it away
+    from underflow, so no maximum has to be taken out.
+    """
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    logits = F.transform_values(probabilities, lambda k, v: F.log(F.greatest(v, F.lit(CLAMP))) / t)
-    top = F.array_max(F.map_values(logits))
-    powers = F.transform_values(logits, lambda k, v: F.exp(v - top))
-    total = F.aggregate(F.map_values(powers), F.lit(0.0), lambda a, v: a + v)
-    return F.transform_values(powers, lambda k, v: v / total)
+    powers = F.transform_values(probabilities, lambda k, v: F.pow(F.greatest(v, F.lit(CLAMP)), 1 / t))
+    entries = F.map_entries(powers)
+    total = F.aggregate(entries, F.lit(0.0), lambda a, e: a + e["value"])
+    shares = F.zip_with(entries, F.array_repeat(total, F.size(entries)), lambda e, z: F.struct(e["key"].alias("key"), (e["value"] / z).alias("value")))
+    return F.map_from_entries(shares)
 
 
 def winner(probabilities: Column) -> Column:

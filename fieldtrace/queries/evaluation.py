@@ -66,7 +66,7 @@ def macro_f1(spark: SparkSession, d: str) -> DataFrame:
 @query(_PR + _scaled("1.0") + " SELECT label, " + ", ".join(f"count_if(chosen = '{c}') AS {c.lower()}" for c in CLASSES) + " FROM j GROUP BY label")
 def confusion_pivot(spark: SparkSession, d: str) -> DataFrame:
     j = V.judged(_predictions(spark, d))
-    return j.groupBy("label").pivot("chosen", CLASSES).agg(F.count("*")).na.fill(0).toDF("label", *[c.lower() for c in CLASSES])
+    return j.groupBy("label").pivot("chosen", CLASSES).agg(F.count(F.lit(1))).na.fill(0).toDF("label", *[c.lower() for c in CLASSES])
 
 
 @query(_PR + _scaled("1.0") + """, b AS (SELECT least(9, floor(confidence * 10)) AS bin, count(*) AS n, avg(confidence) AS c, avg(hit) AS a FROM j GROUP BY 1)
@@ -137,7 +137,7 @@ def label_pred_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT lower(trim(decision)) AS decision, proposed_type_id, type_id FROM (SELECT DISTINCT * FROM spot_reviews) r JOIN products p USING (listing_id))
-SELECT decision, count(*) AS reviews, count_if(CAST(proposed_type_id AS VARCHAR) = trim(type_id)) AS agreed, round(count_if(proposed_type_id IS NOT NULL) / count(*), 6) AS proposed_share FROM s GROUP BY decision""")
+SELECT decision, count(*) AS reviews, count(*) FILTER (WHERE CAST(proposed_type_id AS VARCHAR) = trim(type_id)) AS agreed, round(count_if(proposed_type_id IS NOT NULL) / count(*), 6) AS proposed_share FROM s GROUP BY decision""")
 def agreement(spark: SparkSession, d: str) -> DataFrame:
     """Reviews against the listings' own types; repeated review rows count once."""
     r = table(spark, d, "spot_reviews").distinct()
