@@ -79,4 +79,16 @@ def p9_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_unmatched, p4_found, p4_items, p7_ids, p8_packed, p8_report, p9_found, p9_hosts)}
 
-SQL: dict[str, str] = {}
+_W = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+_COPIES = f"""WITH entries AS (SELECT listing_id, {_W.format('e.key')} || chr(4) || CASE e.type WHEN 'ARRAY' THEN '[' || array_to_string(list_transform(json_extract_string(e.value, '$[*]'), lambda x: {_W.format('x')}), chr(3)) || ']' ELSE {_W.format("json_extract_string(e.value, '$')")} END AS entry
+ FROM products, json_each(technical_specs) e),
+specs AS (SELECT listing_id, string_agg(entry, chr(5) ORDER BY entry) AS specs FROM entries GROUP BY listing_id),
+keyed AS (SELECT p.listing_id, {_W.format('brand')} AS b, {_W.format('product_name')} AS n, {_W.format("regexp_extract(source_url, '^([^?#]*)', 1)")} AS base,
+ list_sort(list_filter(list_transform(string_split(regexp_extract(source_url, '^[^?#]*[?]([^#]*)', 1), '&'), lambda q: {_W.format('q')}), lambda q: q <> '')) AS params, {_W.format("regexp_extract(source_url, '#(.*)$', 1)")} AS frag,
+ source_url IS NULL AS no_url, CASE WHEN technical_specs IS NOT NULL THEN coalesce(specs, '') END AS specs FROM products p LEFT JOIN specs USING (listing_id)),
+kept AS (SELECT listing_id, min(listing_id) OVER w AS kept_id, count(*) OVER w AS copies FROM keyed WINDOW w AS (PARTITION BY b, n, base, params, frag, no_url, specs))"""
+
+SQL: dict[str, str] = {
+    "p2_found": _COPIES + " SELECT kept_id, listing_id AS copy_id FROM kept WHERE listing_id <> kept_id",
+    "p2_records": _COPIES + " SELECT kept_id, copies FROM kept WHERE listing_id = kept_id",
+}
