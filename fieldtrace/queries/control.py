@@ -11,7 +11,7 @@ from fieldtrace.queries.extraction import _BLANK, _html
 from fieldtrace.queries.problems import _LATEST
 from fieldtrace.queries.registry import Registry
 from fieldtrace.sources import artifacts as S
-from fieldtrace.runtime import cut, table
+from fieldtrace.runtime import beside, cut, table
 
 query = Registry()
 
@@ -231,7 +231,7 @@ def artifact_put(spark: SparkSession, d: str) -> DataFrame:
     bodies = table(spark, d, "documents").select(F.col("text").alias("body"))
     stored, again = cut(S.put(bodies, store)).agg(F.count("*").alias("stored")), cut(S.put(bodies, store)).agg(F.count("*").alias("again"))
     keys = spark.read.parquet(store).agg(F.count("*").alias("keys"))
-    return stored.crossJoin(keys).crossJoin(again).crossJoin(S.verify(spark, store).agg(F.count("*").alias("corrupt")))  # one row each
+    return beside(stored, keys, again, S.verify(spark, store).agg(F.count("*").alias("corrupt")))
 
 
 @query("SELECT CASE listing_id % 3 WHEN 0 THEN 'html' WHEN 1 THEN 'json' ELSE 'pdf' END AS mode, count(*) AS pages, count_if(listing_id % 3 = 0 OR (listing_id % 3 = 1 AND listing_id % 2 = 0)) AS allowed FROM products GROUP BY 1")

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldtrace.functions import canon, paths, text, transforms as X
 from fieldtrace.plans import extract as E
+from fieldtrace.plans.legacy import fan_out
 from fieldtrace.plans.recipe import Field, Locator, Recipe, Scope
 from fieldtrace.queries.registry import Registry
-from fieldtrace.runtime import cut, table
+from fieldtrace.runtime import beside, cut, table
 
 query = Registry()
 SPEC_KEY = "Country of manufacture"
@@ -258,7 +259,7 @@ def semantic_diff(spark: SparkSession, d: str) -> DataFrame:
 def replay_check(spark: SparkSession, d: str) -> DataFrame:
     pages, recipe = _customer_pages(spark, d), _customer_recipe()
     kept = cut(E.result_rows(E.extract(pages, recipe)))
-    return kept.agg(F.count("*").alias("records")).crossJoin(E.replay(pages, recipe, kept).agg(F.count("*").alias("mismatches")))
+    return beside(kept.agg(F.count("*").alias("records")), E.replay(pages, recipe, kept).agg(F.count("*").alias("mismatches")))
 
 
 @query("""SELECT source, count(*) AS pages, sha256(string_agg(coalesce(url, '') || ' ' || sha256(coalesce(text, '')), chr(10) ORDER BY doc_id)) AS manifest FROM documents WHERE source IN ('datasheets', 'help-centre') GROUP BY source""")
@@ -332,6 +333,17 @@ def variant_fanout(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter((F.schema_of_variant("v") == "STRING") & ~F.contains("spec", F.lit('"'))).select("listing_id", "spec", F.try_variant_get("v", "$", "string").alias("told"))
 
 
+@query("""WITH v AS (SELECT listing_id, unnest(CASE WHEN listing_id % 3 = 0 THEN [] ELSE ['small', 'large'] END) AS size, unnest(CASE WHEN listing_id % 3 = 0 THEN [] ELSE [0, 1] END) AS n FROM products)
+SELECT p.listing_id, CAST(v.n AS INT) AS variant_no, coalesce(v.size, 'base') AS size, p.source_id AS seller, coalesce(CASE WHEN v.n = 1 THEN 'L-' || p.listing_id END, nullif(model_article_number, ''), string_split(regexp_replace(regexp_replace(source_url, '[?#].*$', ''), '/+$', ''), '/')[-1]) AS order_number
+FROM products p LEFT JOIN v USING (listing_id)""")
+def variant_rows(spark: SparkSession, d: str) -> DataFrame:
+    """One row per variant; its specs override the product's, and its order number comes first."""
+    sizes = F.array(F.create_map(F.lit("Size"), F.lit("small")), F.create_map(F.lit("Size"), F.lit("large"), F.lit("Order number"), F.concat(F.lit("L-"), "listing_id")))
+    p = table(spark, d, "products").withColumn("specs", F.create_map(F.lit("Size"), F.lit("base"), F.lit("Seller"), F.col("source_id"))).withColumn("variants", F.when(F.col("listing_id") % 3 != 0, sizes))
+    out = fan_out(p, "variants", "specs")
+    return out.select("listing_id", "variant_no", F.try_element_at("specs", F.lit("Size")).alias("size"), F.try_element_at("specs", F.lit("Seller")).alias("seller"), "order_number")
+
+
 @query(r"SELECT listing_id, coalesce(nullif(regexp_extract(product_name, '\b([A-Z]+[-]?[0-9][A-Z0-9-]*)\b', 1), ''), string_split(regexp_replace(regexp_replace(source_url, '[?#].*$', ''), '/+$', ''), '/')[-1]) AS model FROM products")
 def model_number(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "products").select("listing_id", text.model_number(F.col("product_name"), F.col("source_url")).alias("model"))

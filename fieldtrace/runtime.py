@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _OWN: list[str] = []
 
@@ -61,3 +61,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def beside(*frames: DataFrame) -> DataFrame:
+    """One-row frames with different columns as one row."""
+    whole = frames[0]
+    for f in frames[1:]:
+        whole = whole.unionByName(f, allowMissingColumns=True)
+    return whole.agg(*[F.max(c).alias(c) for c in whole.columns])
