@@ -20,7 +20,7 @@ from fieldtrace.errors import FieldtraceError
 from fieldtrace.functions import canon, dom, paths, transforms as X
 from fieldtrace.operators.skew import salted_join
 from fieldtrace.plans.recipe import Recipe
-from fieldtrace.plans.validate import check_schema, failures
+from fieldtrace.plans.validate import check_schema, failures, native_checks
 
 _ABSENT = object()
 _FINISHED = StructType([StructField("data", StringType()), StructField("failed", ArrayType(StringType())), StructField("record_id", StringType())])
@@ -100,6 +100,8 @@ def _finisher(recipe: Recipe, workspace: str):
     check_schema(schema)
 
     def one(text):
+        if text is None:
+            return (None, None, None)
         data = json.loads(text)
         failed = sorted({f"{p}:VALIDATION_FAILED" for p in failures(data, schema)})
         ids = []
@@ -108,16 +110,50 @@ def _finisher(recipe: Recipe, workspace: str):
             for p in parts:
                 v = v.get(p) if isinstance(v, dict) else None
             ids.append(v)
-        whole = canon.canonical(data)
-        return (whole, failed, None if any(v is None or v == "" for v in ids) else canon.object_hash([workspace, recipe.source_id, ids]))
+        try:
+            whole = canon.canonical(data)
+            return (whole, failed, None if any(v is None or v == "" for v in ids) else canon.object_hash([workspace, recipe.source_id, ids]))
+        except ValueError:  # a number that canonical JSON can't hold
+            return (text, sorted({*failed, "/:VALIDATION_FAILED"}), None)
 
     @pandas_udf(_FINISHED)
     def run(texts: pd.Series) -> pd.DataFrame:
+        if texts.isna().all():
+            return pd.DataFrame({"data": [None] * len(texts), "failed": None, "record_id": None})
         return pd.DataFrame([one(t) for t in texts], columns=["data", "failed", "record_id"])
 
     return run
 
 
+def _finish(df: DataFrame, recipe: Recipe, workspace: str, ready: dict[str, Column]) -> DataFrame:
+    """Adds __data, __failed, __record_id to rows with __json.
+
+    Members are written in canonical order, so the built-in JSON text is
+    already canonical unless it holds escapes, fractions, exponents, long
+    integers or nested values. Those rows, and schemas beyond flat ones, take
+    the general way in Python; the others never leave the JVM.
+    """
+    check_schema(recipe.schema)
+    parts = {p: paths.pointer_parts(p) for p in ready}
+    flat = all(len(x) == 1 for x in parts.values())
+    checks = native_checks(recipe.schema, {parts[p][0]: c for p, c in ready.items()}) if flat else None
+    general = _finisher(recipe, workspace)
+    if checks is None:
+        df = df.withColumn("__done", general(F.col("__json")))
+        return df.select("*", F.col("__done.data").alias("__data"), F.col("__done.failed").alias("__failed"), F.col("__done.record_id").alias("__record_id"))
+    plain = ~F.col("__json").rlike(r"\\|[0-9][.][0-9]|[0-9][eE][+-]?[0-9]|[0-9]{16}|.[{\[]")
+    identity = [ready[p] for p in recipe.identity]
+    told = F.lit(True)
+    for v in identity:
+        told = told & v.isNotNull() & (F.to_json(v) != '""')
+    ids = F.concat_ws(",", *[F.to_json(v) for v in identity])
+    key = F.sha2(F.concat(F.lit(canon.canonical([workspace, recipe.source_id])[:-1] + ",["), ids, F.lit("]]")), 256)
+    failed = F.array_sort(F.array_distinct(F.array_compact(F.array(*checks)))) if checks else F.array().cast("array<string>")
+    df = df.withColumn("__plain", plain).withColumn("__done", general(F.when(~F.col("__plain"), F.col("__json"))))
+    mine = lambda native, done: F.when(F.col("__plain"), native).otherwise(F.col(f"__done.{done}"))
+    return df.select("*", mine(F.col("__json"), "data").alias("__data"), mine(failed, "failed").alias("__failed"), mine(F.when(told, key), "record_id").alias("__record_id"))
+
+
 @pandas_udf(StringType())
 def _strict(texts: pd.Series) -> pd.Series:
     """The text itself if it is strict JSON, else null."""
@@ -203,7 +239,7 @@ def extract(pages: DataFrame, recipe: Recipe, workspace: str = "default", eviden
     aren't UTF-8 or strict JSON, are SNAPSHOT_INVALID; no pages give no rows.
     """
     df = roots(pages, recipe)
-    fields = sorted(recipe.fields.items())
+    fields = sorted(recipe.fields.items())  # evidence order; the data's members are put in canonical order below
     ready, required, proof = {}, [], []
     for k, (pointer, rule) in enumerate(fields):
         raw, state = f"__raw{k}", f"__state{k}"
@@ -216,7 +252,9 @@ def extract(pages: DataFrame, recipe: Recipe, workspace: str = "default", eviden
         error = error.when(F.exists(values, F.is_variant_null), "LOCATOR_NULL")
         df = df.withColumn(f"__error{k}", error)
         good = F.col(f"__error{k}").isNull()
-        ready[pointer] = F.when(good, F.get(values, F.lit(0))) if rule.cardinality == "one" else F.when(good, values)
+        value = F.when(good, F.get(values, F.lit(0))) if rule.cardinality == "one" else F.when(good, values)
+        df = df.withColumn(f"__value{k}", value)
+        ready[pointer] = F.col(f"__value{k}")
         if rule.required:
             required.append(F.when(~good, F.concat(F.lit(f"{pointer}:"), F.col(f"__error{k}"))))
         if evidence:
@@ -226,14 +264,17 @@ def extract(pages: DataFrame, recipe: Recipe, workspace: str = "default", eviden
                 F.lit(f"{rule.locator.type} {rule.locator.value}").alias("locator"), F.transform(raw, lambda v: F.to_json(v)).alias("raw_values"),
                 F.array(*[F.lit(canon.canonical(t)) for t in rule.transforms]).cast("array<string>").alias("transforms"), outcome.alias("outcome"), F.col(f"__error{k}").alias("error")))
     rooted = F.col("index").isNotNull()
-    df = df.withColumn("__json", F.when(rooted, F.to_json(paths.set_pointers(ready))).otherwise("{}"))
-    df = df.withColumn("__done", _finisher(recipe, workspace)(F.col("__json")))
+    df = df.withColumn("__json", F.when(rooted, F.to_json(paths.set_pointers(dict(sorted(ready.items(), key=lambda kv: [x.encode("utf-16-be", "surrogatepass") for x in paths.pointer_parts(kv[0])]))))).otherwise("{}"))
+    df = _finish(df, recipe, workspace, ready)
     own = F.array_compact(F.array(*required)) if required else F.array().cast("array<string>")
-    own = F.concat(own, F.col("__done.failed"), F.when(F.col("__done.record_id").isNull(), F.array(F.lit("IDENTITY_MISSING"))).otherwise(F.array().cast("array<string>")))
+    own = F.concat(own, F.col("__failed"), F.when(F.col("__record_id").isNull(), F.array(F.lit("IDENTITY_MISSING"))).otherwise(F.array().cast("array<string>")))
     errors = F.when(rooted, F.array_sort(F.array_distinct(own))).otherwise(F.array("page_error"))
+    # always true, but it keeps filters on errors above this step: pushed down,
+    # they would repeat every field's expressions inside the filter
+    errors = F.when(F.spark_partition_id() >= 0, errors)
     out = df.select(
-        F.when(rooted, F.col("__done.record_id")).alias("record_id"), F.lit(recipe.source_id).alias("source_id"), F.lit(recipe.hash()).alias("recipe_hash"), "snapshot_hash", "url", "ord", "index",
-        F.when(rooted, F.col("__done.data")).alias("data"), errors.alias("errors"), *([F.array(*proof).cast(_EVIDENCE).alias("evidence")] if evidence else []))
+        F.when(rooted, F.col("__record_id")).alias("record_id"), F.lit(recipe.source_id).alias("source_id"), F.lit(recipe.hash()).alias("recipe_hash"), "snapshot_hash", "url", "ord", "index",
+        F.when(rooted, F.col("__data")).alias("data"), errors.alias("errors"), *([F.array(*proof).cast(_EVIDENCE).alias("evidence")] if evidence else []))
     return out.withColumn("data_hash", F.sha2("data", 256))
 
 

@@ -78,3 +78,47 @@ def failures(value, schema, path: str = ""):
                 yield from failures(v, known[k], f"{path}/{k}")
             elif isinstance(extra, dict):
                 yield from failures(v, extra, f"{path}/{k}")
+
+
+_VARIANT_KINDS = {"string": ("STRING",), "boolean": ("BOOLEAN",), "integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE", "DECIMAL", "FLOAT")}
+_NATIVE = {"type", "properties", "required", "additionalProperties", "title", "description", "$schema", "$id", "$comment"}
+_NATIVE_MEMBER = {"type", "minLength", "maxLength", "minimum", "maximum", "title", "description"}
+
+
+def native_checks(schema: dict, ready: dict):
+    """The schema as column expressions, or None if it needs the general check.
+
+    ``ready``: top-level member -> variant column, null where missing. Covers
+    flat schemas with scalar members, their types, lengths and bounds.
+    """
+    from pyspark.sql import functions as F
+
+    members = schema.get("properties", {})
+    if not schema.keys() <= _NATIVE or schema.get("additionalProperties", True) not in (True, False):
+        return None
+    if schema.get("additionalProperties", True) is False and not ready.keys() <= members.keys():
+        return None
+    if any(not isinstance(m, dict) or not m.keys() <= _NATIVE_MEMBER or m.get("type") not in (None, *_VARIANT_KINDS) for m in members.values()):
+        return None
+    checks = []
+    for name in schema.get("required", []):
+        checks.append(F.when(ready[name].isNull(), "/:VALIDATION_FAILED") if name in ready else F.lit("/:VALIDATION_FAILED"))
+    for name, m in members.items():
+        if name not in ready:
+            continue
+        value = ready[name]
+        kind = F.schema_of_variant(value)
+        text, number = F.when(kind == "STRING", F.try_variant_get(value, "$", "string")), F.when(kind != "STRING", F.try_variant_get(value, "$", "double"))
+        broken = F.lit(False)
+        if "type" in m:
+            fits = F.lit(False)
+            for k in _VARIANT_KINDS[m["type"]]:
+                fits = fits | kind.startswith(k)
+            if m["type"] == "integer":
+                fits = fits | F.coalesce((F.try_variant_get(value, "$", "double") % 1 == 0) & (kind != "STRING") & (kind != "BOOLEAN"), F.lit(False))
+            broken = broken | ~fits
+        for key, test in (("minLength", lambda x: F.length(text) < x), ("maxLength", lambda x: F.length(text) > x), ("minimum", lambda x: number < x), ("maximum", lambda x: number > x)):
+            if key in m:
+                broken = broken | F.coalesce(test(m[key]), F.lit(False))
+        checks.append(F.when(value.isNotNull() & broken, f"/{name}:VALIDATION_FAILED"))
+    return checks

@@ -9,7 +9,7 @@ from fieldtrace.plans import extract as E
 from fieldtrace.plans.legacy import fan_out
 from fieldtrace.plans.recipe import Field, Locator, Recipe, Scope
 from fieldtrace.queries.registry import Registry
-from fieldtrace.runtime import beside, cut, table
+from fieldtrace.runtime import beside, cut, spread, table
 
 query = Registry()
 SPEC_KEY = "Country of manufacture"
@@ -166,7 +166,7 @@ def _customer_recipe() -> Recipe:
 
 
 def _customer_pages(spark: SparkSession, d: str, columns=("c_custkey", "c_name", "c_mktsegment")) -> DataFrame:
-    rows = table(spark, d, "customer")
+    rows = spread(table(spark, d, "customer").select(*columns))
     return rows.select(F.concat(F.lit("https://crm.example/"), F.col("c_custkey")).alias("url"), F.col("c_custkey").alias("ord"), F.to_json(F.struct(*columns)).alias("body"))
 
 
@@ -194,7 +194,7 @@ def _listing_recipe() -> Recipe:
 
 
 def _listing_pages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "products").select(F.coalesce("source_url", F.lit("https://unknown.example/")).alias("url"), F.col("listing_id").alias("ord"), F.to_json(F.struct("listing_id", "brand", "type_id")).alias("body"))
+    return spread(table(spark, d, "products").select("source_url", "listing_id", "brand", "type_id")).select(F.coalesce("source_url", F.lit("https://unknown.example/")).alias("url"), F.col("listing_id").alias("ord"), F.to_json(F.struct("listing_id", "brand", "type_id")).alias("body"))
 
 
 @query(rf"""WITH t AS (SELECT listing_id, brand, regexp_replace(brand, '^{_BLANK}+|{_BLANK}+$', '', 'g') AS b, type_id, regexp_replace(type_id, '^{_BLANK}+|{_BLANK}+$', '', 'g') AS y FROM products),
@@ -220,7 +220,7 @@ def labeled_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _line_pages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select(F.lit("https://lines.example/").alias("url"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.to_json(F.struct("l_orderkey", "l_returnflag")).alias("body"))
+    return spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")).select(F.lit("https://lines.example/").alias("url"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.to_json(F.struct("l_orderkey", "l_returnflag")).alias("body"))
 
 
 def _line_recipe() -> Recipe:
@@ -277,7 +277,7 @@ def manifest_hash(spark: SparkSession, d: str) -> DataFrame:
 def _html(spark: SparkSession, d: str) -> DataFrame:
     """Listings as product pages: title, labelled table, links, JSON-LD."""
     esc = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
-    p = table(spark, d, "products")
+    p = spread(table(spark, d, "products").select("listing_id", "product_name", "brand", "short_description", "source_id"))
     ld = F.to_json(F.struct(F.lit("Product").alias("@type"), F.col("product_name").alias("name"), F.col("listing_id").alias("sku"), F.struct(F.col("brand").alias("name")).alias("brand")))
     html = F.concat(
         F.lit('<html><body><script>var t="</p>"</script><div class="product card"><h1 itemprop="name">'), esc(F.col("product_name")), F.lit('</h1><span data-sku="'), F.col("listing_id"), F.lit('"></span><p>'), esc(F.col("short_description")),

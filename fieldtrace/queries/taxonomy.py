@@ -8,7 +8,7 @@ from fieldtrace.functions import text
 from fieldtrace.operators import hierarchy as H, taxonomy as T
 from fieldtrace.queries.problems import _LATEST, _P1
 from fieldtrace.queries.registry import Registry
-from fieldtrace.runtime import table
+from fieldtrace.runtime import spread, table
 
 query = Registry()
 
@@ -55,7 +55,7 @@ _TOK = r"unnest(regexp_extract_all(replace(replace(lower({}), 'ς', 'σ'), 'ß',
 @query(f"""WITH t AS (SELECT doc_id, {_TOK.format('text')} AS token FROM documents), n AS (SELECT count(*) AS n FROM documents)
 SELECT token, count(DISTINCT doc_id) AS df, round(ln((1.0 + n.n) / (1.0 + count(DISTINCT doc_id))) + 1, 6) AS idf FROM t, n GROUP BY token, n.n""")
 def tfidf_df(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return T.idf(T.token_counts(docs, "doc_id", F.col("text")), docs.count()).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -93,7 +93,7 @@ g AS (SELECT doc_id, unnest(t) AS gram FROM w UNION ALL SELECT doc_id, unnest([t
 SELECT gram, count(*) AS tf, count(DISTINCT doc_id) AS df FROM g GROUP BY gram ORDER BY tf DESC, gram LIMIT 500""")
 def ngram_topk(spark: SparkSession, d: str) -> DataFrame:
     """The 500 most frequent 1- to 3-grams of the corpus, a vocabulary of fixed size."""
-    w = table(spark, d, "documents").filter("text is not null").select("doc_id", text.word_list(F.col("text")).alias("t"))
+    w = spread(table(spark, d, "documents").select("doc_id", "text")).filter("text is not null").select("doc_id", text.word_list(F.col("text")).alias("t"))
     at = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("t") - k)), lambda i: F.array_join(F.slice("t", i, F.lit(k + 1)), " "))
     grams = F.concat(F.col("t"), F.when(F.size("t") > 1, at(1)).otherwise(F.array().cast("array<string>")), F.when(F.size("t") > 2, at(2)).otherwise(F.array().cast("array<string>")))
     rows = w.select("doc_id", F.explode(grams).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))

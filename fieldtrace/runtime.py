@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -34,6 +35,32 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once per application.
+
+    Needed where the workers' path doesn't hold it already.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    _SHIPPED.add(application)
+    folder = tempfile.mkdtemp(prefix="fieldtrace-zip-")
+    _OWN.append(folder)
+    atexit.register(shutil.rmtree, folder, True)
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(folder, "fieldtrace.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for at, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    whole = os.path.join(at, name)
+                    z.write(whole, os.path.join("fieldtrace", os.path.relpath(whole, here)))
+    spark.sparkContext.addPyFile(archive)
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark._jvm
@@ -63,6 +90,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain table scan with at least as many partitions as there are cores.
+
+    Small files would leave cores idle under heavy row work; a scan that has
+    enough partitions, as every large one has, is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def beside(*frames: DataFrame) -> DataFrame:
     """One-row frames with different columns as one row."""
     whole = frames[0]
