@@ -10,12 +10,11 @@ cycle of some quotient.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from fieldtrace.operators.skew import hot_keys, salted_join
+from fieldtrace.operators.skew import salted_join
 from fieldtrace.runtime import cut
 
 FRAGMENT_ROWS = 30_000
@@ -82,15 +81,18 @@ def _bucketed(nodes: DataFrame, level: int, count: int, fragment_rows: int, loca
     """Adds the bucket of each node: about ``fragment_rows`` nodes each.
 
     With a locality column its values stay together, except those that alone
-    exceed ``fragment_rows``. At deeper levels a node joins its parent's bucket
-    if a coin of the parent's id shows heads and its own shows tails: about a
-    quarter of all links become local whatever the shape of the forest.
+    exceed ``fragment_rows``. Otherwise a node joins its parent's bucket if a
+    coin of the parent's id shows heads and its own shows tails: about a quarter
+    of all links become local whatever the shape of the forest. Children of a
+    parent with more than ``fragment_rows`` of them stay spread.
     """
     buckets = max(1, -(-count // fragment_rows))
     if buckets == 1:
         return nodes.withColumn("bucket", F.lit(0).cast("long"))
     coin = lambda c: F.pmod(F.xxhash64(F.lit(level * 7919), c), F.lit(2))
-    mate = F.when(F.col("parent").isNotNull() & (coin(F.col("parent")) == 1) & (coin(F.col("id")) == 0), F.col("parent")).otherwise(F.col("id"))
+    wide = nodes.filter("parent is not null").groupBy("parent").agg(F.count("*").alias("__n")).filter(F.col("__n") > fragment_rows)
+    nodes = salted_join(nodes, wide.select("parent", F.lit(True).alias("__wide")), "parent", "left")
+    mate = F.when(F.col("parent").isNotNull() & F.col("__wide").isNull() & (coin(F.col("parent")) == 1) & (coin(F.col("id")) == 0), F.col("parent")).otherwise(F.col("id"))
     key = F.xxhash64(F.lit(level), mate)
     if locality:
         sizes = nodes.filter(F.col(locality).isNotNull()).groupBy(locality).agg(F.count("*").alias("__n"))

@@ -11,7 +11,6 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_OWN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,7 +29,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     own = tempfile.mkdtemp(prefix="fieldtrace-")
-    _OWN.append(own)
+    atexit.register(shutil.rmtree, own, True)
     spark.sparkContext.setCheckpointDir(f"file://{own}")
     return f"file://{own}"
 
@@ -48,7 +47,6 @@ def ship(spark: SparkSession) -> None:
         return
     _SHIPPED.add(application)
     folder = tempfile.mkdtemp(prefix="fieldtrace-zip-")
-    _OWN.append(folder)
     atexit.register(shutil.rmtree, folder, True)
     here = os.path.dirname(os.path.abspath(__file__))
     archive = os.path.join(folder, "fieldtrace.zip")

@@ -49,6 +49,14 @@ def test_long_chain_and_hot_parent(spark):
     assert run(spark, links, fragment_rows=30) == brute(links)
 
 
+def test_no_bucket_takes_all_children_of_one_parent(spark):
+    links = [(k, 1 if k > 1 else None) for k in range(1, 3001)]
+    df = spark.createDataFrame([(i, p, str(i), 1, i) for i, p in links], "id long, parent long, seg string, seg_n int, lo long")
+    for level in range(4):
+        sizes = [r["count"] for r in H._bucketed(df, level, 3000, 100, None).groupBy("bucket").count().collect()]
+        assert max(sizes) < 250 and sum(sizes) == 3000
+
+
 def test_nulls_repeats_and_empty(spark):
     assert run(spark, []) == {}
     assert run(spark, [(None, 1), (1, None), (1, None), (2, 1)]) == {1: (1, 1, "1"), 2: (1, 2, "1.2")}
