@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
+from fieldtrace.functions.text import resolve_url
 from fieldtrace.runtime import cut
 
 # Query keys that may carry secrets, letters only.
@@ -75,6 +76,32 @@ def robots_rule(robots: pd.Series, agents: pd.Series, urls: pd.Series) -> pd.Dat
     return pd.DataFrame([one(*x) for x in zip(robots, agents, urls)], columns=["allowed", "delay"])
 
 
+def discover(found: DataFrame, allowed: list[str], next_only: bool = False) -> DataFrame:
+    """(url, ord, target, error) of located link values, resolved and checked.
+
+    ``found``: (url, values array<variant>), what a locator gave on each page;
+    a value may be a list of links. Values that are no strings are
+    NAVIGATION_INVALID; with ``next_only`` more than one different link is
+    NAVIGATION_AMBIGUOUS, one error per page. Links that break the URL policy,
+    or lead from HTTPS to plain HTTP, carry the policy's code. Empty and null
+    values are no links.
+    """
+    flat = F.flatten(F.transform("values", lambda v: F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))))
+    useful = F.filter(flat, lambda v: v.isNotNull() & ~F.is_variant_null(v) & (F.to_json(v) != '""'))
+    rows = found.select("url", useful.alias("links"))
+    if next_only:
+        several = F.size(F.array_distinct(F.transform("links", lambda v: F.to_json(v)))) > 1
+        rows = rows.withColumn("several", several).withColumn("links", F.slice("links", 1, 1))
+    else:
+        rows = rows.withColumn("several", F.lit(False))
+    each = rows.select("url", "several", F.posexplode("links").alias("ord", "v"))
+    link = F.when(F.schema_of_variant("v") == "STRING", F.try_variant_get("v", "$", "string"))
+    told = each.withColumn("link", link).withColumn("target", F.when(~F.col("several"), resolve_url(F.col("url"), F.col("link"))))
+    down = F.lower("url").startswith("https:") & F.lower("target").startswith("http:")
+    error = F.when(F.col("several"), "NAVIGATION_AMBIGUOUS").when(F.col("link").isNull(), "NAVIGATION_INVALID").when(F.coalesce(down, F.lit(False)), "URL_POLICY_DENIED").otherwise(url_policy(F.col("target"), allowed))
+    return told.withColumn("error", error).select("url", "ord", F.when(F.col("error").isNull(), F.col("target")).alias("target"), "error")
+
+
 def crawl_waves(links: DataFrame, seeds: DataFrame, max_pages: int, max_waves: int = 100) -> DataFrame:
     """(url, wave, position): breadth-first order without repeats.
 

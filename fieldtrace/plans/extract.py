@@ -21,6 +21,7 @@ from fieldtrace.functions import canon, dom, paths, transforms as X
 from fieldtrace.operators.skew import salted_join
 from fieldtrace.plans.recipe import Recipe
 from fieldtrace.plans.validate import check_schema, failures, native_checks
+from fieldtrace.runtime import beside, cut
 
 _ABSENT = object()
 _FINISHED = StructType([StructField("data", StringType()), StructField("failed", ArrayType(StringType())), StructField("record_id", StringType())])
@@ -344,9 +345,31 @@ def replay(pages: DataFrame, recipe: Recipe, expected: DataFrame, workspace: str
 def manifest(pages: DataFrame) -> DataFrame:
     """(pages, snapshot_hash): one digest of the ordered page list.
 
-    Digests of pages are gathered in order; their number is bounded by the
-    recipe's page limit, which is checked here.
+    For one collection: its digests are gathered in order, and ``collect_pages``
+    checks the recipe's page limit before.
     """
     listed = snapshots(pages).select("ord", "url", "snapshot_hash")
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "url", "snapshot_hash"))), lambda p: F.concat_ws(" ", p["url"], p["snapshot_hash"])), "\n")
     return listed.agg(F.count("*").alias("pages"), F.sha2(lines, 256).alias("snapshot_hash"))
+
+
+def collect_pages(pages: DataFrame, recipe: Recipe, workspace: str = "default") -> dict[str, DataFrame]:
+    """One collection of pages as a result: merged, quarantined, evidence, summary.
+
+    The collection must have 1 to max_pages pages and at most max_records
+    records (LIMIT_REACHED otherwise); within those bounds the summary's
+    result_hash covers every record and quarantined row in order.
+    """
+    count = pages.limit(recipe.limits.max_pages + 1).count()
+    if not 1 <= count <= recipe.limits.max_pages:
+        raise FieldtraceError("LIMIT_REACHED", f"{count} pages")
+    extracted = cut(extract(pages, recipe, workspace))
+    if extracted.limit(recipe.limits.max_records + 1).count() > recipe.limits.max_records:
+        raise FieldtraceError("LIMIT_REACHED", "records")
+    merged, conflicting = merge(extracted)
+    bad = quarantined(extracted).unionByName(conflicting)
+    lines = lambda df, *c: df.select(F.concat_ws(" ", *c).alias("line")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("h"))
+    good, worse = lines(merged, "record_id", "data_hash"), lines(bad, "snapshot_hash", F.coalesce(F.col("index").cast("string"), F.lit("-")), F.array_join("errors", ","))
+    whole = beside(good.select(F.col("n").alias("records"), F.col("h").alias("records_hash")), worse.select(F.col("n").alias("quarantined"), F.col("h").alias("quarantined_hash")), manifest(pages))
+    summary = whole.withColumn("result_hash", F.sha2(F.concat_ws(" ", "records_hash", "quarantined_hash", "snapshot_hash", F.lit(recipe.hash())), 256))
+    return {"records": merged, "quarantined": bad, "evidence": evidence_rows(extracted), "summary": summary}

@@ -89,6 +89,16 @@ def url_policy(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "products").groupBy(code.alias("code")).agg(F.count("*").alias("urls"))
 
 
+@query("""WITH l AS (SELECT listing_id, datasheet_url AS u, source_url AS page FROM products WHERE coalesce(datasheet_url, '') <> ''),
+j AS (SELECT listing_id, CASE WHEN regexp_matches(u, '^[A-Za-z]+://') THEN u END AS t, page FROM l)
+SELECT count(*) AS links, count(*) FILTER (WHERE t IS NOT NULL AND NOT (lower(coalesce(page, '')) LIKE 'https:%' AND lower(t) LIKE 'http:%') AND regexp_extract(lower(t), '^https?://([^/?#:]+)', 1) = 'www.quorbeldirekt.example') AS allowed FROM j""")
+def link_discovery(spark: SparkSession, d: str) -> DataFrame:
+    """Datasheet links of all listings, resolved against their page and checked."""
+    p = table(spark, d, "products").select(F.coalesce("source_url", F.lit("https://unknown.example/")).alias("url"), F.array(F.col("datasheet_url").cast("variant")).alias("values"))
+    told = N.discover(p, ["www.quorbeldirekt.example"])
+    return told.agg(F.count("*").alias("links"), F.count_if(F.col("error").isNull()).alias("allowed"))
+
+
 @query("SELECT c_custkey, CAST(c_custkey % 4 = 0 AS BOOLEAN) AS allowed FROM customer")
 def address_policy(spark: SparkSession, d: str) -> DataFrame:
     address = F.element_at(F.array(F.lit("93.184.216.34"), F.lit("10.0.0.1"), F.lit("2002:7f00:1::1"), F.lit("64:ff9b::a00:1")), (F.col("c_custkey") % 4 + 1).cast("int"))

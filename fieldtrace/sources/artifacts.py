@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fieldtrace.errors import FieldtraceError
+from fieldtrace.functions import canon
 from fieldtrace.runtime import cut, shared_folder
 
 
@@ -128,3 +129,17 @@ def write_union_csv(parts: list[DataFrame], path: str) -> None:
     for p in parts[1:]:
         whole = whole.unionByName(p, allowMissingColumns=True)
     whole.write.option("escape", '"').csv(path, header=True)
+
+
+def write_schema(path: str, schema: dict, check: bool = False) -> bool:
+    """Writes a schema as canonical JSON; with ``check`` only tells whether the file has it."""
+    wanted = canon.canonical(schema) + "\n"
+    if check:
+        try:
+            with open(path, encoding="utf-8") as f:
+                return f.read() == wanted
+        except FileNotFoundError:
+            return False
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(wanted)
+    return True

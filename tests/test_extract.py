@@ -72,6 +72,27 @@ def test_merge_and_conflict(spark):
     assert [list(r["errors"]) for r in clash.collect()] == [["IDENTITY_CONFLICT"]] * 2
 
 
+def test_collection(spark):
+    pages = spark.createDataFrame([("u1", 0, GOOD), ("u2", 1, '{"items":[{"sku":"A","name":"Other"},{"sku":"Q"}]}')], "url string, ord long, body string")
+    one, two = (E.collect_pages(p, catalog()) for p in (pages, pages.repartition(3)))
+    s = one["summary"].first()
+    assert (s["pages"], s["records"], s["quarantined"]) == (2, 1, 3) and s["result_hash"] == two["summary"].first()["result_hash"]
+    assert one["evidence"].count() == 12 and sorted(e for r in one["quarantined"].collect() for e in r["errors"]) == ["/:VALIDATION_FAILED", "/name:LOCATOR_ZERO", "IDENTITY_CONFLICT", "IDENTITY_CONFLICT"]
+    for bad in (pages.limit(0), pages):
+        with pytest.raises(FieldtraceError):
+            E.collect_pages(bad, catalog(limits=Limits(max_pages=1)))
+
+
+def test_both_ways_of_finishing_agree(spark):
+    tricky = ['{"sku":"A","name":"plain","price":5}', '{"sku":"\\u0041\\n","name":"q\\"x","price":5.0}', '{"sku":"B","name":"{x}","price":1e3}', '{"sku":"C","name":"d","price":12345678901234567890}', '{"sku":"E","name":"long enough text here","price":-1}', '{"sku":"F","name":"f","price":true}']
+    flat = {"type": "object", "properties": {"sku": {"type": "string"}, "name": {"type": "string", "maxLength": 12}, "price": {"type": "number", "minimum": 0}}, "required": ["sku", "name"]}
+    base = Recipe("c", "json", Scope("one_per_resource"), catalog().fields, ("/sku",), flat)
+    deep = Recipe("c", "json", Scope("one_per_resource"), catalog().fields, ("/sku",), flat | {"minProperties": 0})
+    a, b = ([(r["record_id"], r["data"], list(r["errors"])) for r in run(spark, recipe, *tricky).orderBy("ord").collect()] for recipe in (base, deep))
+    assert a == b
+    assert [e for _, _, e in a] == [[], [], [], ["/:VALIDATION_FAILED", "IDENTITY_MISSING"], ["/name:VALIDATION_FAILED", "/price:VALIDATION_FAILED"], ["/price:VALIDATION_FAILED"]]
+
+
 def test_diff(spark):
     before, after = (E.records(run(spark, catalog(), b)) for b in (GOOD, '{"items":[{"sku":"A","name":"Drill"},{"sku":"C","name":"New"}]}'))
     assert sorted(r["change"] for r in E.semantic_diff(before, after).collect()) == ["added", "changed", "removed"]

@@ -45,6 +45,15 @@ def test_crawl_order_limit_and_loops(spark):
     assert frontier.crawl_waves(links, seeds.limit(0), 5).count() == 0
 
 
+def test_link_discovery(spark):
+    rows = [("https://a.example/p/", '["x", ["/y", ""], null, 5]'), ("https://a.example/", '["http://a.example/z", "https://b.example/", "z#f"]'), ("https://a.example/e", "[]")]
+    df = spark.createDataFrame(rows, "url string, t string").select("url", F.try_variant_get(F.parse_json("t"), "$", "array<variant>").alias("values"))
+    got = [(r["target"], r["error"]) for r in frontier.discover(df, ["a.example"]).orderBy(F.desc("url"), "ord").collect()]
+    assert got == [("https://a.example/p/x", None), ("https://a.example/y", None), (None, "NAVIGATION_INVALID"), (None, "URL_POLICY_DENIED"), (None, "DOMAIN_DENIED"), (None, "URL_POLICY_DENIED")]
+    one = [(r["url"], r["target"], r["error"]) for r in frontier.discover(df, ["a.example"], next_only=True).collect()]
+    assert ("https://a.example/p/", None, "NAVIGATION_AMBIGUOUS") in one and len(one) == 2
+
+
 # folds
 def test_folds(spark):
     writes = spark.createDataFrame([("a", 1, 0), ("a", 2, 5), ("a", 3, 1), ("b", 1, 1), (None, 1, 0)], "key string, seq int, expected_version int")
@@ -180,6 +189,12 @@ def test_publication(spark, tmp_path):
     assert S.head(spark, folder) == (2, {"n": 2})
 
 
+def test_schema_file(tmp_path):
+    path = str(tmp_path / "s.json")
+    assert not S.write_schema(path, SCHEMA, check=True) and S.write_schema(path, SCHEMA) and S.write_schema(path, SCHEMA, check=True)
+    assert not S.write_schema(path, {"type": "object"}, check=True)
+
+
 def test_csv_with_mark_and_pinned_digest(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_bytes('﻿id,name\n1,"a ""q""\nb"\n'.encode())
