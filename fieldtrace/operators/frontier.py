@@ -111,15 +111,16 @@ def crawl_waves(links: DataFrame, seeds: DataFrame, max_pages: int, max_waves: i
     anti-join. Stops at ``max_pages`` pages (the crawl's own limit), at
     ``max_waves``, or when nothing new is found.
     """
-    first = seeds.filter("url is not null").groupBy("url").agg(F.min("ord").alias("ord"))
+    first = seeds.filter("url is not null").groupBy("url").agg(F.min("ord").alias("ord")).orderBy("ord", "url").limit(max_pages)
     wave = cut(first.withColumn("position", F.row_number().over(Window.orderBy("ord", "url")) - 1).select("url", F.lit(0).alias("wave"), "position"))
     found, count, number = wave, wave.count(), 0
     while count < max_pages and number < max_waves:
         number += 1
         told = wave.select(F.col("url"), F.col("position").alias("from")).join(links.filter("target is not null"), "url")
         new = told.groupBy("target").agg(F.min(F.struct("from", "ord")).alias("at")).join(found.select(F.col("url").alias("target")), "target", "left_anti")
-        ordered = new.withColumn("position", F.row_number().over(Window.orderBy("at.from", "at.ord", "target")) - 1 + count)
-        wave = cut(ordered.filter(F.col("position") < max_pages).select(F.col("target").alias("url"), F.lit(number).alias("wave"), "position"))
+        first = new.orderBy("at.from", "at.ord", "target").limit(max_pages - count)  # at most the crawl's limit is numbered
+        ordered = first.withColumn("position", F.row_number().over(Window.orderBy("at.from", "at.ord", "target")) - 1 + count)
+        wave = cut(ordered.select(F.col("target").alias("url"), F.lit(number).alias("wave"), "position"))
         more = wave.count()
         if not more:
             break
