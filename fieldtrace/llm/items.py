@@ -138,7 +138,9 @@ def describe(brand: str | None, name: str | None, specs: str | None, short: str
         name_size = name_size or back_size
     line, size = line or name_line, size or name_size
     told = _WORDS.findall(title)
-    variant = next((entries[k] for k in VARIANT_KEYS if entries.get(k) in _VARIANT), None) or next((w for w in told if w in _VARIANT), None)
+    # a single word in a variant entry counts even if it isn't a known one
+    named = (_WORDS.findall(entries[k]) for k in VARIANT_KEYS if entries.get(k))
+    variant = next((w[0] for w in named if len(w) == 1), None) or next((w for w in told if w in _VARIANT), None)
     if not variant and headline:
         variant = next((w for w in _WORDS.findall(headline) if w in _VARIANT), None)
     colour = next((_COLOUR.get(entries[k], entries[k]) for k in COLOUR_KEYS if entries.get(k)), None)

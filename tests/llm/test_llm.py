@@ -183,6 +183,7 @@ def test_describe_units_languages_and_decoys():
     assert d("Krundal®", "Krundal Juspomoss-2351-Rapid cistern valve 23.6inch, anthrazit", None, None) == ("krundal", "juspomoss", "2351", "rapid", "length600", "anthracite")
     assert d("THE Krundal COMPANY", "cistern valve", '{"Series": "Juspomoss 2351", "Use with": ["Juspomoss 2359", "primer"], "Farbe": "AN", "Width": "0.6 m", "Version": "Rapid"}', "") == ("krundal", "juspomoss", "2351", "rapid", "length600", "anthracite")
     assert d(None, "AN 60cm valve Rapid 2351 Juspomoss", "not json", None)[1:4] == ("juspomoss", "2351", "rapid")
+    assert d("a", "Juspomoss 2351 5 kg", '{"Version": "Turbo", "Type": "valve for walls"}', None)[3:5] == ("turbo", "weight5000")
     assert d(None, None, None, None) == (None,) * 6
 
 
