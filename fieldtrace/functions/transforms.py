@@ -93,15 +93,20 @@ def resolve_list(lists: pd.Series, bases: pd.Series) -> pd.Series:
     return pd.Series([None if xs is None else [None if x is None else urljoin(b or "", x) for x in xs] for xs, b in zip(lists, bases)], dtype=object)
 
 
+def _canonical(text: str | None) -> str:
+    """Canonical form of a JSON text; a null element is JSON's null."""
+    return "null" if text is None else canon.canonical(canon.loads_strict(text))
+
+
 @pandas_udf(ArrayType(StringType()))
 def order_list(lists: pd.Series) -> pd.Series:
     """JSON texts in the order of their canonical texts."""
-    return lists.map(lambda xs: None if xs is None else sorted((canon.canonical(canon.loads_strict(x)) for x in xs), key=lambda x: x.encode()))
+    return lists.map(lambda xs: None if xs is None else sorted((_canonical(x) for x in xs), key=lambda x: x.encode()))
 
 
 @pandas_udf(ArrayType(StringType()))
 def distinct_list(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda xs: None if xs is None else sorted({canon.canonical(canon.loads_strict(x)) for x in xs}, key=lambda x: x.encode()))
+    return lists.map(lambda xs: None if xs is None else sorted({_canonical(x) for x in xs}, key=lambda x: x.encode()))
 
 
 def parse_decimal(value: Column, decimal: str = ".", grouping: str | None = None) -> Column:

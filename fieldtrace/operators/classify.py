@@ -21,11 +21,16 @@ def with_grams(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("__w", words).withColumn("grams", F.concat("__w", F.when(F.size("__w") > 1, pairs).otherwise(none))).drop("__w")
 
 
-def fit(train: DataFrame, column: str, label: str, iterations: int = 12) -> PipelineModel:
-    """Balanced multinomial logistic regression; rows without a label are left out."""
+def fit(train: DataFrame, column: str, label: str, iterations: int = 12) -> PipelineModel | None:
+    """Balanced multinomial logistic regression; rows without a label are left out.
+
+    None if the rest has fewer than two classes.
+    """
     rows = with_grams(train.filter(F.col(label).isNotNull()), column)
     per = rows.groupBy(label).agg(F.count("*").alias("__n"))  # one row per class
     total, classes = per.agg(F.sum("__n"), F.count("*")).first()
+    if classes < 2:
+        return None
     weighted = rows.join(per, label).withColumn("weight", F.lit(float(total)) / (F.lit(float(classes)) * F.col("__n"))).drop("__n")
     index = StringIndexer(inputCol=label, outputCol="label_index", handleInvalid="skip").fit(weighted)
     stages = [

@@ -33,7 +33,8 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     if not keys:
         return left.join(right, key, how)
     is_hot = F.col(key).isin(keys)
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int")
+    hashable = [c for c, kind in left.dtypes if "map<" not in kind and "variant" not in kind]
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in hashable]), F.lit(salts)).cast("int")
     spread = left.withColumn("__salt", F.when(is_hot, salt).otherwise(F.lit(0)))
     repeated = right.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return spread.join(repeated, [key, "__salt"], how).drop("__salt")

@@ -276,10 +276,15 @@ def manifest_hash(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT count(DISTINCT n_regionkey) AS pages, count(*) AS records, CAST(0 AS BIGINT) AS quarantined, count(*) * 2 AS evidence FROM nation")
 def pages_extract(spark: SparkSession, d: str) -> DataFrame:
-    """One collection: a page per region with its nations, within the recipe's limits."""
+    """One collection: a page per region with its nations, within the recipe's limits.
+
+    A collection without pages is refused by the operator; the query has no rows then.
+    """
     pages = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")))).alias("items"))
     pages = pages.select(F.concat(F.lit("https://geo.example/"), "n_regionkey").alias("url"), F.col("n_regionkey").alias("ord"), F.to_json(F.struct("items")).alias("body"))
     recipe = Recipe("nations", "json", Scope("items_path", "$.items[*]"), {"/key": _pointer("/key", required=True), "/name": _pointer("/name")}, ("/key",))
+    if not pages.take(1):
+        return pages.select(*[F.lit(0).cast("long").alias(c) for c in ("pages", "records", "quarantined", "evidence")])
     told = E.collect_pages(pages, recipe)
     return beside(told["summary"].select("pages", "records", "quarantined"), told["evidence"].agg(F.count("*").alias("evidence")))
 

@@ -77,7 +77,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/fieldtrace/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if path.startswith("file:") or path.startswith("/"):
+    if path.startswith("file:"):
         atexit.register(shutil.rmtree, path.removeprefix("file://").removeprefix("file:"), True)
     else:
         atexit.register(_drop, spark, path)

@@ -18,8 +18,8 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of event files with their time as a timestamp."""
-    return spark.readStream.schema(EVENTS).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    """A stream of event files; events without a time or user have no place in it."""
+    return spark.readStream.schema(EVENTS).parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).filter("ts is not null and user_id is not null")
 
 
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:

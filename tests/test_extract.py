@@ -152,6 +152,12 @@ def test_transforms(spark):
         assert (None if got[1] else json.loads(got[0]), got[1]) == (want, code), rule
 
 
+def test_null_elements_are_json_nulls(spark):
+    df = spark.createDataFrame([(["b", None, "a"],)], "x array<string>").withColumn("v", F.transform("x", lambda x: x.cast("variant")))
+    for op, want in (("sort", ["a", "b", None]), ("unique", ["a", "b", None])):
+        assert json.loads(X.run(df, F.col("v"), [{"op": op}], "s").select(F.to_json("s.v")).first()[0]) == want
+
+
 names = st.text(st.characters(blacklist_categories=["Cs"]), max_size=6)
 
 

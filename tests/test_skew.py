@@ -1,9 +1,12 @@
+from pyspark.sql import functions as F
+
 from fieldtrace.operators import skew
 
 
 def test_salted_join_equals_plain_join(spark, monkeypatch):
     left = spark.range(120_000).selectExpr("id", "case when id % 3 = 0 then 7 when id % 1000 = 1 then null else id % 500 end as k")
-    right = spark.range(0, 400).selectExpr("id as k", "id * 2 as v")
+    left = left.withColumn("m", F.create_map(F.lit("a"), F.col("id"))).withColumn("v", F.col("id").cast("variant"))
+    right = spark.range(0, 400).selectExpr("id as k", "id * 2 as w")
     assert [r["k"] for r in skew.hot_keys(left, "k", share=4).collect()] == []
     monkeypatch.setattr(skew, "hot_keys", lambda df, key, share=3: df.sparkSession.createDataFrame([(7, 40_000)], "k long, __n long"))
     for how in ("inner", "left", "left_semi"):
