@@ -185,6 +185,28 @@ def split_integrity(spark: SparkSession, d: str) -> DataFrame:
     return beside(leaks, again, rows.agg(F.count("*").alias("rows")))
 
 
+@query("""WITH g AS (SELECT source_id, category, count(*) AS n FROM products JOIN (SELECT DISTINCT name FROM canonical_categories WHERE level = 'category') c ON category = c.name GROUP BY ALL),
+s AS (SELECT seed, category, n, CAST('0x' || substr(md5(seed || ':' || source_id), 1, 4) AS INT) % 10 AS h FROM g, (SELECT unnest(range(42, 242)) AS seed)),
+p AS (SELECT seed, CASE WHEN h < 6 THEN 0 WHEN h < 8 THEN 1 ELSE 2 END AS part, category, sum(n) AS n FROM s GROUP BY ALL),
+e AS (SELECT seed, count(*) AS cells, min(n) AS least, sum(n) FILTER (WHERE part = 0) AS a, sum(n) FILTER (WHERE part = 1) AS b, sum(n) FILTER (WHERE part = 2) AS c FROM p GROUP BY seed)
+SELECT CAST(min(seed) AS INT) AS seed, count(*) AS eligible FROM e WHERE cells = 3 * (SELECT count(DISTINCT category) FROM g) AND least >= 2 AND least(a, b, c) >= 0.1 * (a + b + c)""")
+def split_seed(spark: SparkSession, d: str) -> DataFrame:
+    """The first of 200 seeds whose group split has enough rows of every class in every part.
+
+    Rows are counted per group and class once; only those counts meet the seeds.
+    """
+    known = table(spark, d, "canonical_categories").filter("level = 'category'").select(F.col("name").alias("category")).distinct()
+    groups = cut(table(spark, d, "products").join(known, "category").groupBy("source_id", "category").agg(F.count("*").alias("n")))
+    classes = groups.select("category").distinct().count()
+    h = F.conv(F.substring(F.md5(F.concat(F.col("seed").cast("string"), F.lit(":"), F.col("source_id"))), 1, 4), 16, 10).cast("int") % 10
+    seeded = groups.withColumn("seed", F.explode(F.sequence(F.lit(42), F.lit(241)))).withColumn("part", F.when(h < 6, 0).when(h < 8, 1).otherwise(2))
+    cells = seeded.groupBy("seed", "part", "category").agg(F.sum("n").alias("n"))
+    of = lambda k: F.sum(F.when(F.col("part") == k, F.col("n"))).alias(f"p{k}")
+    told = cells.groupBy("seed").agg(F.count("*").alias("cells"), F.min("n").alias("least"), of(0), of(1), of(2))
+    ok = (F.col("cells") == 3 * classes) & (F.col("least") >= 2) & (F.least("p0", "p1", "p2") >= 0.1 * (F.col("p0") + F.col("p1") + F.col("p2")))
+    return told.filter(ok).agg(F.min("seed").alias("seed"), F.count("*").alias("eligible"))
+
+
 @query("SELECT source_id, count(*) AS listings, count_if(category IS NOT NULL AND category <> '') AS labelled, round(count_if(category IS NOT NULL AND category <> '') / count(*), 6) AS share FROM products GROUP BY source_id")
 def valid_fraction(spark: SparkSession, d: str) -> DataFrame:
     ok = F.coalesce(F.col("category") != "", F.lit(False))
