@@ -19,9 +19,10 @@ from fieldtrace.operators.skew import salted_join
 from fieldtrace.runtime import cut
 
 #: Words that sellers put before or after a name.
-FILLERS = ["all", "various", "etc", "new", "sale", "misc"]
-#: Longest reference key that allows so many edits.
-EDITS = [(4, 0), (6, 1), (9, 2), (13, 3), (10_000, 4)]
+FILLERS = ["all", "various", "etc", "new", "sale", "sales", "misc", "home", "shop", "catalogue", "departments"]
+#: Longest reference key that allows so many edits. Two slips are meant to be
+#: found, and swapping two letters counts as two edits; short keys allow less.
+EDITS = [(6, 1), (9, 3), (10_000, 4)]
 _PATH_SEPARATORS = r"[>/|»]"
 _CODES = r"\[[^\]]*\]|[0-9]+\s*[-.:]\s*[0-9]+\s*:?|[0-9]+"
 
@@ -47,20 +48,22 @@ def typed_words(text: Column) -> Column:
     t = F.regexp_replace(_plain(text), _CODES, " ")
     segments = F.filter(F.split(t, _PATH_SEPARATORS), lambda s: s.rlike(r"\p{L}"))
     last = F.coalesce(F.try_element_at(segments, F.lit(-1)), F.lit(""))
+    last = F.regexp_replace(last, r"etc\.?[^\p{L}]*$", " ")  # also where it is glued to the name
     found = F.regexp_extract_all(last, F.lit(r"(\p{L}[\p{L}\p{M}]*\.?)"), 1)
     bare = lambda w: F.regexp_replace(w, r"\.$", "")
     filler = lambda w: bare(w).isin(FILLERS) | ((F.length(bare(w)) >= 6) & (F.levenshtein(bare(w), F.lit("various")) <= 2))
     kept = F.filter(found, lambda w: ~filler(w))
     # a filler may be glued to the name
-    return F.transform(kept, lambda w: F.when((F.length(w) > 10) & w.startswith("various"), F.substring(w, 8, 1000)).otherwise(w))
+    return F.transform(kept, lambda w: F.when((F.length(w) > 8) & w.startswith("various"), F.substring(w, 8, 1000)).otherwise(w))
 
 
 def reference_keys(canonical: DataFrame) -> DataFrame:
     """(level, key, canon_id, whole) of every way to write a reference entry.
 
     Names and aliases in any rotation of their words, also with one or two
-    words abbreviated to a prefix and a dot, or with the words between an
-    abbreviated first and the last left out (``whole`` is false). A key that
+    words abbreviated to a prefix and a dot, with the second or all inner words
+    left out after an abbreviated first, or cut off after eight letters or more
+    (``whole`` is false). A key that
     means several entries of one level is dropped.
     """
     texts = canonical.select("level", F.col("canon_id").cast("int").alias("canon_id"), F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("text"))
@@ -74,13 +77,16 @@ def reference_keys(canonical: DataFrame) -> DataFrame:
     short = F.concat(F.col("word").substr(F.lit(1), F.col("cut")), F.lit("."))
     one = at.withColumn("w2", F.concat(F.slice("w", F.lit(1), F.col("i") - 1), F.array(short), F.slice("w", F.col("i") + 1, F.col("n"))))
     skip = at.filter("i = 1 and n >= 3").withColumn("w2", F.array(short, F.element_at("w", F.col("n"))))
+    second = at.filter("i = 1 and n >= 4").withColumn("w2", F.concat(F.array(short), F.slice("w", F.lit(3), F.col("n"))))
     lone = at.filter("i = 1 and n >= 2 and cut >= 5").withColumn("w2", F.array(short))
+    whole_key = F.array_join("w", "")
+    off = base.filter("n >= 2").withColumn("cut", F.explode(F.sequence(F.lit(8), F.greatest(F.lit(8), F.length(whole_key) - 1)))).withColumn("w2", F.array(F.concat(F.substring(whole_key, F.lit(1), F.col("cut")), F.lit("."))))
     again = one.filter("cut < length(word)").withColumn("i2", F.explode(F.sequence(F.lit(1), F.col("n")))).filter("i2 > i")
     again = again.withColumn("word2", F.element_at("w", F.col("i2"))).filter(F.length("word2") >= 4).withColumn("cut2", F.explode(F.sequence(F.lit(3), F.length("word2") - 1)))
     short2 = F.concat(F.col("word2").substr(F.lit(1), F.col("cut2")), F.lit("."))
     two = again.withColumn("w2", F.concat(F.slice("w2", F.lit(1), F.col("i2") - 1), F.array(short2), F.slice("w2", F.col("i2") + 1, F.col("n"))))
     cols = ["level", "canon_id", "w2"]
-    dotted = one.select(*cols).unionByName(skip.select(*cols)).unionByName(lone.select(*cols)).unionByName(two.select(*cols)).withColumn("n", F.size("w2")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dotted = one.select(*cols).unionByName(skip.select(*cols)).unionByName(second.select(*cols)).unionByName(lone.select(*cols)).unionByName(off.select(*cols)).unionByName(two.select(*cols)).withColumn("n", F.size("w2")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     dotted = dotted.select("level", "canon_id", F.array_join(turn(F.col("w2")), "").alias("key"), F.lit(False).alias("whole"))
     every = plain.unionByName(dotted).groupBy("level", "key", "canon_id").agg(F.max("whole").alias("whole"))
     meant = every.groupBy("level", "key").agg(F.count("*").alias("n"), F.min("canon_id").alias("canon_id"), F.max("whole").alias("whole"))
