@@ -5,7 +5,9 @@ colour. Number, variant, size and colour must agree exactly, so every token of
 the line's name (pairs of letters) and of the brand carries them; tokens are
 ordered by rarity and joined over prefixes. Candidates that pass the length and
 positional filters are verified by exact weighted containment, and stars of
-them around the best supported writing are the items.
+them around the best supported writing are the items. A star that leaves some
+of variant, size and colour untold then joins the star of the same line and
+number that tells them, where only one told value fits.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ BRAND_WEIGHT = 2
 #: Sets whose numbers of tokens differ by more are not compared.
 LENGTH_GAP = 3
 STAR_ROUNDS = 30
+#: What a listing may leave untold.
+ATTRIBUTES = ("variant", "size", "colour")
 
 # House-style words of the catalogue domain.
 COMPANY = ["gmbh", "ag", "kg", "ltd", "limited", "group", "company", "the", "inc", "co", "corp", "sa", "sarl", "srl", "bv", "ab", "oy", "plc", "llc", "und", "and"]
@@ -115,6 +119,9 @@ def _entries(specs: str | None) -> dict[str, str]:
 def describe(brand: str | None, name: str | None, specs: str | None, short: str | None) -> tuple:
     """(brand, line, number, variant, size, colour) of a listing; null where untold.
 
+    A name or headline that tells the line and no variant tells that there is
+    none (an empty variant); a line told by the specs alone leaves it untold.
+
     Sources in order of trust: the specs' own entries, the lead of the short
     description, the name. A name that gives no line as it stands is read with
     its words in reverse order.
@@ -143,6 +150,11 @@ def describe(brand: str | None, name: str | None, specs: str | None, short: str
     variant = next((w[0] for w in named if len(w) == 1), None) or next((w for w in told if w in _VARIANT), None)
     if not variant and headline:
         variant = next((w for w in _WORDS.findall(headline) if w in _VARIANT), None)
+    if not variant:
+        back = " ".join(reversed(_BLANKS.sub(" ", name or "").lower().replace("(", " ").replace(")", " ").split()))
+        bare = [_SIZE.sub(" ", x) for x in (title, headline, back)]
+        named = [_find_line(x) for x in bare] + [_find_line(bare[0], _LOOSE_LINE)]
+        variant = "" if line and any(x and x[1] == line[1] for x in named) else None
     colour = next((_COLOUR.get(entries[k], entries[k]) for k in COLOUR_KEYS if entries.get(k)), None)
     if not colour and "," in lead:
         colour = next((_COLOUR[w] for w in _WORDS.findall(lead.rpartition(",")[2]) if w in _COLOUR), None)
@@ -167,14 +179,17 @@ def describe_listings(products: DataFrame) -> DataFrame:
 
 
 def token_sets(described: DataFrame) -> DataFrame:
-    """One row per distinct description: (set, brand, tokens, n, weight, support).
+    """One row per distinct description: (set, brand, tokens, n, weight, support, ...).
 
     ``set`` is a hash of the description, ``tokens`` the distinct hashed tokens.
     """
     held = F.xxhash64("number", F.coalesce("variant", F.lit("-")), F.coalesce("size", F.lit("-")), F.coalesce("colour", F.lit("-")))
     one = described.filter("line is not null and number is not null").withColumn("held", held)
     one = one.withColumn("set", F.xxhash64("held", "line", F.coalesce("brand", F.lit("-"))))
-    sets = one.groupBy("set", "held", "line", "brand").agg(F.count("*").alias("support"))
+    return _with_tokens(one.groupBy("set", "held", "line", "brand", "number", *ATTRIBUTES).agg(F.count("*").alias("support")))
+
+
+def _with_tokens(sets: DataFrame) -> DataFrame:
     padded = F.concat(F.lit("^"), F.col("line"), F.lit("$"))
     pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("line") + 1), lambda i: padded.substr(i, F.lit(2))))
     grams = F.transform(pairs, lambda g: F.struct(F.xxhash64("held", g).alias("token"), F.lit(1).alias("w")))
@@ -190,8 +205,10 @@ def similar_sets(sets: DataFrame, containment: float = CONTAINMENT) -> DataFrame
     shared weight shares at least one token of both prefixes. Length filter:
     the numbers of tokens differ by at most LENGTH_GAP. Positional filter: what
     can still follow the shared token must suffice. Then exact verification;
-    two known, different brands never match.
+    two known, different brands never match. With a boolean column ``open``
+    only pairs of an open ``a`` and another ``b`` are made, in either order.
     """
+    sided = "open" in sets.columns
     flat = sets.select("set", "n", "weight", F.explode("tokens").alias("t")).select("set", "n", "weight", "t.token", "t.w")
     rarity = flat.groupBy("token").agg(F.count("*").alias("df"))
     ranked = flat.join(rarity.filter("df > 1"), "token")  # a token of one set joins nothing
@@ -203,8 +220,10 @@ def similar_sets(sets: DataFrame, containment: float = CONTAINMENT) -> DataFrame
     prefix = (F.col("n") - least + 1 - F.col("alone")).cast("int")
     entries = order.filter(prefix > 0).select("set", "n", "weight", "alone", F.posexplode(F.slice("o", F.lit(1), prefix)).alias("pos", "t"))
     entries = cut(entries.select("set", "n", "weight", (F.col("pos") + F.col("alone")).alias("at"), F.col("t.token").alias("token")))
-    other = entries.select(F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("weight").alias("w_b"), F.col("at").alias("at_b"), "token")
-    near = entries.withColumnRenamed("set", "a").join(other, "token").filter("a < b").filter(F.abs(F.col("n") - F.col("n_b")) <= LENGTH_GAP)
+    if sided:
+        entries = entries.join(sets.select("set", "open"), "set")
+    other = (entries.filter("not open") if sided else entries).select(F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("weight").alias("w_b"), F.col("at").alias("at_b"), "token")
+    near = (entries.filter("open") if sided else entries).withColumnRenamed("set", "a").join(other, "token").filter("true" if sided else "a < b").filter(F.abs(F.col("n") - F.col("n_b")) <= LENGTH_GAP)
     need = F.lit(containment) * F.least("weight", "w_b") - (BRAND_WEIGHT - 1)
     near = near.filter(1 + F.least("at", "at_b") + F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) - 1 >= need)
     pairs = near.select("a", "b").distinct()
@@ -245,6 +264,38 @@ def star_clusters(sets: DataFrame, pairs: DataFrame, rounds: int = STAR_ROUNDS)
     return sets.select("set").join(every, "set", "left").select("set", F.coalesce("centre", "set").alias("centre"))
 
 
+def fill_untold(sets: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(set, centre) after stars with untold attributes joined those that tell them.
+
+    A star fits one of similar line, the same number and no other known brand
+    that agrees in all attributes the first tells and tells at least one more.
+    If all that fit give one value at most for each attribute, it joins the one
+    that tells most (then the best supported); otherwise it stays apart.
+    """
+    rows = sets.join(clusters, "set").select("set", "centre", "brand", "line", "number", "support", *ATTRIBUTES)
+    ways = [[a for k, a in enumerate(ATTRIBUTES) if way >> k & 1] for way in range(1, 2 ** len(ATTRIBUTES))]
+    every = lambda names, told: F.lit(True) if not names else F.expr(" and ".join(f"{a} is {'not ' * told}null" for a in names))
+    rest = lambda way: [a for a in ATTRIBUTES if a not in way]
+    key = lambda k, way: F.xxhash64(F.lit(k), "number", *[F.col(a) for a in rest(way)])
+    fits = lambda way, is_open: every(rest(way), True) & (every(way, False) if is_open else ~every(way, False))
+    sided = lambda is_open: rows.withColumn("held", F.explode(F.filter(F.array(*[F.when(fits(way, is_open), key(k, way)) for k, way in enumerate(ways)]), lambda h: h.isNotNull()))).withColumn("open", F.lit(is_open))
+    untold, told = sided(True), sided(False)
+    both = untold.join(told.select("held").distinct(), "held", "left_semi").unionByName(told.join(untold.select("held").distinct(), "held", "left_semi"))
+    both = cut(_with_tokens(both.withColumn("own", F.col("set")).withColumn("set", F.xxhash64("own", "held", "open"))))
+    pairs = similar_sets(both)
+    to = both.select(F.col("set").alias("b"), F.col("centre").alias("to"), "support", *ATTRIBUTES)
+    fit = pairs.join(both.select(F.col("set").alias("a"), "centre"), "a").join(to, "b")
+    tells = sum((F.col(a).isNotNull().cast("int") for a in ATTRIBUTES), F.lit(0))
+    best = F.max(F.struct(tells.alias("tells"), "support", (-F.col("to")).alias("least"), "to"))["to"].alias("to")
+    one = F.expr(" and ".join(f"(low_{a} is null or low_{a} = high_{a})" for a in ATTRIBUTES))
+    moved = fit.groupBy("centre").agg(best, *[f(a).alias(f"{n}_{a}") for a in ATTRIBUTES for f, n in ((F.min, "low"), (F.max, "high"))]).filter(one)
+    moved = cut(moved.select("centre", "to"))
+    for _ in ATTRIBUTES[1:]:  # each step tells one attribute more
+        further = moved.select(F.col("centre").alias("to"), F.col("to").alias("further"))
+        moved = moved.join(further, "to", "left").select("centre", F.coalesce("further", "to").alias("to"))
+    return clusters.join(moved, "centre", "left").select("set", F.coalesce("to", "centre").alias("centre"))
+
+
 def same_items(products: DataFrame) -> DataFrame:
     """(listing_id, item) of every listing; item names its group.
 
@@ -254,7 +305,7 @@ def same_items(products: DataFrame) -> DataFrame:
     """
     described = cut(describe_listings(products))
     sets = cut(token_sets(described))
-    clusters = cut(star_clusters(sets, cut(similar_sets(sets))))
+    clusters = cut(fill_untold(sets, cut(star_clusters(sets, cut(similar_sets(sets))))))
     held = F.xxhash64("number", F.coalesce("variant", F.lit("-")), F.coalesce("size", F.lit("-")), F.coalesce("colour", F.lit("-")))
     told = F.col("line").isNotNull() & F.col("number").isNotNull()
     keyed = described.select("id", F.when(told, F.xxhash64(held, "line", F.coalesce("brand", F.lit("-")))).alias("set"))

@@ -202,6 +202,22 @@ def test_items(spark):
     assert items.same_items(df.limit(0)).count() == 0
 
 
+def test_untold_attributes_join_the_one_item_that_fits(spark):
+    specs = '{"Range": "Juspomoss 2351"}'
+    rows = [
+        (1, "Krundal", "Juspomoss 2351 Rapid valve 300 mm red", None), (2, "Krundal", "valve 300 mm red", specs), (3, "Krundal", "valve red", specs), (4, None, "Juspomoss 2351 Rapid valve 300 mm", None), (5, "Other", "valve 300 mm red", specs),
+        # two variants, or one and none, fit: apart from both, but together
+        (11, "Krundal", "Kemlabont 77 1", None), (12, "Krundal", "Torrudan 8624 Rapid 5 kg", None), (13, "Krundal", "Torrudan 8624 Eco 5 kg", None), (14, "Krundal", "drill 5 kg", '{"Range": "Torrudan 8624"}'), (15, "Krundal", "drill, 5 kg", '{"Model": "Torrudan 8624"}'),
+        (21, "Krundal", "Zanpodan 4213 Rapid 5 kg", None), (22, "Krundal", "Zanpodan 4213 5 kg", None), (23, "Krundal", "lacquer 5 kg", '{"Range": "Zanpodan 4213"}'),
+        # a name that tells the line and no variant tells that there is none
+        (31, "Krundal", "Moknedan-766 drill 5 kg", None), (32, "Krundal", "Moknedan-766 Eco drill 5 kg", None), (41, "Krundal", "Nurpodan 7610 5 kg", None), (42, "Krundal", "drill 5 kg", '{"Range": "Nurpodan 7610"}')]
+    df = spark.createDataFrame([(k, b, n, s, None, "", "") for k, b, n, s in rows], LISTING)
+    groups = {}
+    for r in items.same_items(df).collect():
+        groups.setdefault(r["item"], set()).add(r["listing_id"])
+    assert sorted(map(sorted, groups.values())) == [[1, 2, 3, 4], [5], [11], [12], [13], [14, 15], [21], [22], [23], [31], [32], [41, 42]]
+
+
 def test_similar_sets_equal_brute_force(spark):
     rnd = random.Random(2)
     lines = ["juspomoss", "juspomos", "juspomosss", "jusplmoss", "kemlabont", "kemlabnot", "kemlaxa", "torrudan", "torrrudan", "trrudan", "torrudna"]
