@@ -9,7 +9,9 @@ shuffles arise only where identities are merged or compared.
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -353,6 +355,35 @@ def manifest(pages: DataFrame) -> DataFrame:
     return listed.agg(F.count("*").alias("pages"), F.sha2(lines, 256).alias("snapshot_hash"))
 
 
+def manifests(pages: DataFrame, by: str) -> DataFrame:
+    """(by, pages, snapshot_hash): the digest of ``manifest`` for every collection at once.
+
+    Each collection's lines reach one task in order and are hashed as they
+    pass, so a hot collection costs time there and no memory. Rows without a
+    collection name are one collection; pages without an order come last.
+    """
+    line = F.concat_ws(" ", "url", F.sha2(F.encode("body", "utf-8"), 256))
+    listed = pages.select(F.col(by).alias("by"), F.col("ord").cast("long").alias("ord"), line.alias("line"))
+    ordered = listed.repartition("by").sortWithinPartitions("by", F.asc_nulls_last("ord"), "line")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, count, digest = None, 0, None
+        told = lambda: pd.DataFrame({"by": [name], "pages": [count], "snapshot_hash": [digest.hexdigest()]})
+        for f in frames:
+            for by_, lines in f.groupby("by", sort=False, dropna=False)["line"]:
+                by_ = by_ if isinstance(by_, str) else None
+                if digest is None or by_ != name:
+                    if digest is not None:
+                        yield told()
+                    name, count, digest = by_, 0, hashlib.sha256()
+                digest.update((("\n" if count else "") + "\n".join(lines)).encode())
+                count += len(lines)
+        if digest is not None:
+            yield told()
+
+    return ordered.select("by", "line").mapInPandas(run, "by string, pages long, snapshot_hash string").withColumnRenamed("by", by)
+
+
 def collect_pages(pages: DataFrame, recipe: Recipe, workspace: str = "default") -> dict[str, DataFrame]:
     """One collection of pages as a result: merged, quarantined, evidence, summary.
 

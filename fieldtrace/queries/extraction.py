@@ -274,6 +274,13 @@ def manifest_hash(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query("""SELECT source, count(*) AS pages, sha256(string_agg(coalesce(url, '') || ' ' || sha256(coalesce(text, '')), chr(10) ORDER BY doc_id)) AS manifest FROM documents GROUP BY source""")
+def manifest_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """The digest of ``manifest_hash`` for every source in one plan."""
+    pages = table(spark, d, "documents").select("source", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("text", F.lit("")).alias("body"), F.col("doc_id").alias("ord"))
+    return E.manifests(pages, "source").withColumnRenamed("snapshot_hash", "manifest")
+
+
 @query("SELECT count(DISTINCT n_regionkey) AS pages, count(*) AS records, CAST(0 AS BIGINT) AS quarantined, count(*) * 2 AS evidence FROM nation")
 def pages_extract(spark: SparkSession, d: str) -> DataFrame:
     """One collection: a page per region with its nations, within the recipe's limits.

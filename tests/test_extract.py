@@ -1,4 +1,6 @@
+import hashlib
 import json
+import random
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -83,6 +85,28 @@ def test_collection(spark):
             E.collect_pages(bad, catalog(limits=Limits(max_pages=1)))
 
 
+def test_manifests_cover_every_collection(spark):
+    rows = [(name, f"https://e.example/{name}/{k}", k, f"ü{k}") for name, n in (("hot", 25_000), ("b", 2), ("c", 1), (None, 3)) for k in range(n)]
+    pages = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "source string, url string, ord long, body string")
+    got = {r["source"]: (r["pages"], r["snapshot_hash"]) for r in E.manifests(pages, "source").collect()}
+    want = {}
+    for name in ("hot", "b", "c", None):
+        lines = [f"{u} {hashlib.sha256(b.encode()).hexdigest()}" for s, u, _, b in rows if s == name]
+        want[name] = (len(lines), hashlib.sha256("\n".join(lines).encode()).hexdigest())
+    assert got == want
+    assert got["b"] == tuple(E.manifest(pages.filter("source = 'b'")).first())
+    assert E.manifests(pages.limit(0), "source").count() == 0
+
+
+def test_every_source_has_a_manifest(spark):
+    from fieldtrace.queries import extraction
+
+    d = "/root/testdata/sf0.001"
+    got = {r["source"]: (r["pages"], r["manifest"]) for r in extraction.manifest_hashes(spark, d).collect()}
+    assert got.keys() == {r["source"] for r in spark.read.parquet(f"{d}/documents.parquet").select("source").distinct().collect()}
+    assert all(got[r["source"]] == (r["pages"], r["manifest"]) for r in extraction.manifest_hash(spark, d).collect())
+
+
 def test_both_ways_of_finishing_agree(spark):
     tricky = ['{"sku":"A","name":"plain","price":5}', '{"sku":"\\u0041\\n","name":"q\\"x","price":5.0}', '{"sku":"B","name":"{x}","price":1e3}', '{"sku":"C","name":"d","price":12345678901234567890}', '{"sku":"E","name":"long enough text here","price":-1}', '{"sku":"F","name":"f","price":true}']
     flat = {"type": "object", "properties": {"sku": {"type": "string"}, "name": {"type": "string", "maxLength": 12}, "price": {"type": "number", "minimum": 0}}, "required": ["sku", "name"]}
