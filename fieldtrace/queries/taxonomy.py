@@ -8,7 +8,7 @@ from fieldtrace.functions import text
 from fieldtrace.operators import hierarchy as H, taxonomy as T
 from fieldtrace.queries.problems import _LATEST, _P1
 from fieldtrace.queries.registry import Registry
-from fieldtrace.runtime import spread, table
+from fieldtrace.runtime import cut, spread, table
 
 query = Registry()
 
@@ -139,6 +139,41 @@ def prompt_context(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "products").select("listing_id", F.concat_ws(" | ", part("Brand", F.col("brand")), part("Name", F.col("product_name")), part("Text", F.substring("short_description", 1, 60))).alias("context"))
 
 
+_TOLD = """(WITH e AS (SELECT listing_id, e.id AS pos, e.key AS k, CASE e.type WHEN 'VARCHAR' THEN json_extract_string(e.value, '$') ELSE CAST(e.value AS VARCHAR) END AS v FROM products, json_each(technical_specs) e),
+s AS (SELECT listing_id, list(k || ' ' || v ORDER BY pos) AS words, list('- ' || k || ': ' || v ORDER BY pos)[1:10] AS lines FROM e GROUP BY listing_id)
+SELECT listing_id, coalesce(product_name, '') AS name, coalesce(short_description, '') AS description, concat_ws(' ', product_name, short_description, array_to_string(words, ' ')) AS product_name, coalesce(array_to_string(lines, chr(10)), '') AS lines FROM products LEFT JOIN s USING (listing_id))"""
+
+
+@query(f"""WITH told AS MATERIALIZED {_TOLD}, ranked AS ({_RANK.replace("FROM products)", "FROM told)")}30),
+leaf AS (SELECT c.canon_id AS leaf_id, concat_ws(' > ', p.name, c.name) AS path FROM canonical_categories c LEFT JOIN canonical_categories p ON c.parent_canon_id = p.canon_id),
+options AS (SELECT listing_id, string_agg('ID: ' || leaf_id || ' | Similarity: ' || printf('%.6f', similarity) || ' | Path: ' || path, chr(10) ORDER BY rank) AS options FROM ranked JOIN leaf USING (leaf_id) GROUP BY listing_id)
+SELECT listing_id, 'Name: ' || name || chr(10) || 'Description: ' || description || chr(10) || 'Technical Specifications:' || chr(10) || lines || chr(10) || 'MOST RELEVANT CLASSIFICATION OPTIONS:' || chr(10) || coalesce(options, '') AS context FROM told LEFT JOIN options USING (listing_id)""")
+def prompt_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The product part of the classification prompt: name, whole description, first ten specs, thirty ranked leaves.
+
+    The leaves are ranked by name, description and all specs. Specs that aren't
+    JSON stand as they are; what isn't told is empty. Similarities have six
+    digits. A listing that shares no word with any leaf has no options.
+    """
+    specs = F.from_json("technical_specs", "map<string,string>")
+    entries = F.map_entries("specs")
+    each = lambda start, between: F.transform(entries, lambda e: F.concat(F.lit(start), e["key"], F.lit(between), F.coalesce(e["value"], F.lit("null"))))
+    raw = F.when(F.try_parse_json("technical_specs").isNull(), F.col("technical_specs"))
+    p = table(spark, d, "products").select("listing_id", "product_name", "short_description", "technical_specs").withColumn("specs", specs)
+    told = cut(p.select(
+        "listing_id", F.coalesce("product_name", F.lit("")).alias("name"), F.coalesce("short_description", F.lit("")).alias("description"),
+        F.coalesce(F.array_join(F.slice(each("- ", ": "), 1, 10), "\n"), raw, F.lit("")).alias("lines"), F.concat_ws(" ", "product_name", "short_description", F.coalesce(F.array_join(each("", " "), " "), raw)).alias("text")))
+    ranked = T.rank(told, "listing_id", "text", _leaf_texts(spark, d), 30)
+    c = table(spark, d, "canonical_categories")
+    up = c.select(F.col("canon_id").alias("parent_canon_id"), F.col("name").alias("parent_name"))
+    paths = c.withColumn("parent_canon_id", F.col("parent_canon_id").cast("int")).join(up, "parent_canon_id", "left").select(F.col("canon_id").alias("leaf_id"), F.concat_ws(" > ", "parent_name", "name").alias("path"))
+    option = F.concat(F.lit("ID: "), "leaf_id", F.lit(" | Similarity: "), F.format_string("%.6f", "similarity"), F.lit(" | Path: "), "path")
+    options = ranked.join(paths, "leaf_id").groupBy("listing_id").agg(F.array_sort(F.collect_list(F.struct("rank", option.alias("option")))).alias("o"))  # thirty at most
+    options = options.select("listing_id", F.array_join(F.transform("o", lambda x: x["option"]), "\n").alias("options"))
+    context = F.concat(F.lit("Name: "), "name", F.lit("\nDescription: "), "description", F.lit("\nTechnical Specifications:\n"), "lines", F.lit("\nMOST RELEVANT CLASSIFICATION OPTIONS:\n"), F.coalesce("options", F.lit("")))
+    return told.join(options, "listing_id", "left").select("listing_id", context.alias("context"))
+
+
 @query(_P1 + """ SELECT scheme_id, CAST(depth AS INT) AS depth, count(*) AS nodes FROM solved JOIN latest USING (id) GROUP BY scheme_id, depth""")
 def depth_profile(spark: SparkSession, d: str) -> DataFrame:
     nodes = _nodes(spark, d)

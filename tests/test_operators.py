@@ -217,3 +217,21 @@ def test_captured_pages(spark, tmp_path):
     spark.dataSource.register(CapturedPages)
     got = {r["request_url"]: (r["url"], r["error"]) for r in spark.read.format("captured_pages").option("max_bytes", 20).load(str(tmp_path)).collect()}
     assert got["https://a.example/1"] == ("https://a.example/2", None) and got["https://a.example/3"][1] == "URL_POLICY_DENIED" and got["https://a.example/5"][1] == "URL_POLICY_DENIED" and got["https://a.example/6"][1] == "LIMIT_REACHED"
+
+
+def test_whole_prompt(spark, tmp_path):
+    from fieldtrace.queries import taxonomy
+
+    specs = {f"k{9 - i if i < 10 else 'last'}": [f"v{i}", "ü"] if i == 1 else f"v{i}" for i in range(11)}
+    long = "sealing " + "x" * 200 + " end"
+    rows = [(1, "Tile glue", long, json.dumps(specs)), (2, "Glue", None, "not json"), (3, None, None, None), (4, "nothing", "", "[1]")]
+    spark.createDataFrame(rows, "listing_id long, product_name string, short_description string, technical_specs string").write.parquet(f"{tmp_path}/products.parquet")
+    leaves = [(100 + k, f"Glue {k}", "subcategory", "1", []) for k in range(35)]
+    spark.createDataFrame([(1, "Chemistry", "category", None, []), *leaves], "canon_id int, name string, level string, parent_canon_id string, aliases array<string>").write.parquet(f"{tmp_path}/canonical_categories.parquet")
+    got = {r["listing_id"]: r["context"].split("\n") for r in taxonomy.prompt_whole(spark, str(tmp_path)).collect()}
+    head = "MOST RELEVANT CLASSIFICATION OPTIONS:"
+    assert got[1][:2] == ["Name: Tile glue", f"Description: {long}"]
+    assert got[1][3:14] == [*(f"- k{9 - i}: " + ('["v1","ü"]' if i == 1 else f"v{i}") for i in range(10)), head]
+    assert len(got[1]) == 14 + 30 and all(x.startswith("ID: ") and " | Path: Chemistry > Glue " in x for x in got[1][14:])
+    assert got[2][:5] == ["Name: Glue", "Description: ", "Technical Specifications:", "not json", head] and len(got[2]) == 35
+    assert got[3] == ["Name: ", "Description: ", "Technical Specifications:", "", head, ""] and got[4][3:] == ["", head, ""]
