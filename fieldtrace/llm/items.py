@@ -28,7 +28,6 @@ CONTAINMENT = 0.7
 BRAND_WEIGHT = 2
 #: Sets whose numbers of tokens differ by more are not compared.
 LENGTH_GAP = 3
-STAR_ROUNDS = 30
 #: What a listing may leave untold.
 ATTRIBUTES = ("variant", "size", "colour")
 
@@ -234,21 +233,20 @@ def similar_sets(sets: DataFrame, containment: float = CONTAINMENT) -> DataFrame
     return full.filter(enough & F.coalesce(F.col("brand_a") == F.col("brand_b"), F.lit(True))).select("a", "b")
 
 
-def star_clusters(sets: DataFrame, pairs: DataFrame, rounds: int = STAR_ROUNDS) -> DataFrame:
+def star_clusters(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """(set, centre): stars around the best supported sets.
 
     A set better supported than all its open neighbours (ties: least hash)
     becomes a centre and takes its open neighbours, each by its best centre;
-    this repeats among the rest. Sets without neighbours are their own centre.
+    this repeats until no edge is left; the best supported open set is a centre
+    in every round, so it ends. Sets without neighbours are their own centre.
     """
     rank = sets.select("set", "support")
     both = pairs.select(F.col("a").alias("set"), F.col("b").alias("near")).unionByName(pairs.select(F.col("b").alias("set"), F.col("a").alias("near")))
     edges = cut(both.join(rank.withColumnRenamed("set", "near").withColumnRenamed("support", "near_support"), "near").join(rank, "set"))
     better = (F.col("near_support") > F.col("support")) | ((F.col("near_support") == F.col("support")) & (F.col("near") < F.col("set")))
     done = []
-    for _ in range(rounds):
-        if not edges.take(1):
-            break
+    while edges.take(1):
         marked = edges.groupBy("set").agg(F.max(better.cast("int")).alias("beaten"))
         centres = cut(marked.filter("beaten = 0").select("set"))
         taken = edges.join(centres.withColumnRenamed("set", "near"), "near", "left_semi").groupBy("set").agg(F.max(F.struct("near_support", (-F.col("near")).alias("least")))["least"].alias("c"))

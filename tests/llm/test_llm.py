@@ -241,6 +241,13 @@ def test_stars(spark):
     assert {r["centre"] for r in items.star_clusters(sets, pairs.limit(0)).collect()} == {1, 2, 3, 4, 5, 6}
 
 
+def test_stars_of_a_long_chain(spark):
+    n = 64  # a round takes two of them
+    sets = spark.createDataFrame([(k, n - k) for k in range(n)], "set long, support long").coalesce(1)
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(n - 1)], "a long, b long").coalesce(1)
+    assert {r["set"]: r["centre"] for r in items.star_clusters(sets, pairs).collect()} == {k: k - k % 2 for k in range(n)}
+
+
 # problem 9
 SPAM = ["cheap valve\nvalve shop\nvalve near me\nbuy valve\nvalve sale Elmsgate\nvalve discount", "#Valve #Pump #Seal #Tape #Glue #Valve", "https://a.example/x/y\nwww.b.example/z\nhttps://c.example/q?a=1\nb.example/t/u",
         "No pipe collar beats our pipe collar; compare pipe collar with pipe collar in Elmsgate. Our pipe collar is the best pipe collar for pipe collar buyers who want pipe collar."]
