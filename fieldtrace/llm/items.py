@@ -1,236 +1,101 @@
 """Product listings that describe the same item, whoever sells it.
 
-Each listing is reduced to brand, product line, number, variant, size and
-colour. Number, variant, size and colour must agree exactly, so every token of
-the line's name (pairs of letters) and of the brand carries them; tokens are
-ordered by rarity and joined over prefixes. Candidates that pass the length and
-positional filters are verified by exact weighted containment, and stars of
-them around the best supported writing are the items. A star that leaves some
-of variant, size and colour untold then joins the star of the same line and
-number that tells them, where only one told value fits.
+A listing's rare words and numbers, read off the whole corpus, are its tokens;
+brand, variant, size and colour are told beside them. Word tokens carry the
+number they stand with and are joined over prefixes in order of rarity.
+Candidates that pass the length and positional filters are verified: no told
+attribute may differ, and the letter pairs of their words must contain each
+other by weight. Stars of verified sets around the best supported writing are
+the items. A star that leaves some of variant, size and colour untold then
+joins the star that tells them, where only one told value fits.
 """
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from fieldtrace.llm.listing_words import describe
 from fieldtrace.operators.skew import salted_join
 from fieldtrace.runtime import cut
 
 #: Least shared weight, as a part of the lighter set's weight.
 CONTAINMENT = 0.7
-#: Weight of the brand; a pair of letters weighs 1.
-BRAND_WEIGHT = 2
-#: Sets whose numbers of tokens differ by more are not compared.
-LENGTH_GAP = 3
+#: The same for the word tokens of a candidate pair: one word may be misspelt if the brand is told.
+CANDIDATE = 0.4
+#: Weights of a word token and of the brand; in the verification a pair of letters weighs 1.
+WORD_WEIGHT, BRAND_WEIGHT = 3, 2
 #: What a listing may leave untold.
 ATTRIBUTES = ("variant", "size", "colour")
 
-# House-style words of the catalogue domain.
-COMPANY = ["gmbh", "ag", "kg", "ltd", "limited", "group", "company", "the", "inc", "co", "corp", "sa", "sarl", "srl", "bv", "ab", "oy", "plc", "llc", "und", "and"]
-COLOURS = {
-    "black": ["black", "schwarz", "noir", "bk"],
-    "white": ["white", "weiss", "weiß", "blanc", "wh"],
-    "red": ["red", "rot", "rouge", "rd"],
-    "grey": ["grey", "gray", "grau", "gris", "gy"],
-    "beige": ["beige", "be"],
-    "anthracite": ["anthracite", "anthrazit", "an"],
-    "transparent": ["transparent", "clear", "tr"],
-    "blue": ["blue", "blau", "bleu", "bl"],
-    "green": ["green", "grün", "vert", "gn"],
-    "yellow": ["yellow", "gelb", "jaune", "ye"],
-    "brown": ["brown", "braun", "brun", "br"],
-}
-VARIANTS = ["flex", "s2", "hd", "fine", "pro", "winter", "eco", "plus", "xl", "mp", "rapid", "le"]
-UNITS = {
-    "mm": ("length", 1.0), "cm": ("length", 10.0), "m": ("length", 1000.0), "in": ("length", 25.4), "inch": ("length", 25.4), "inches": ("length", 25.4), "ft": ("length", 304.8),
-    "ml": ("volume", 1.0), "cl": ("volume", 10.0), "l": ("volume", 1000.0), "ltr": ("volume", 1000.0), "litre": ("volume", 1000.0), "liter": ("volume", 1000.0), "litres": ("volume", 1000.0),
-    "g": ("weight", 1.0), "kg": ("weight", 1000.0), "lb": ("weight", 453.59237), "lbs": ("weight", 453.59237), "oz": ("weight", 28.349523),
-    "w": ("power", 1.0), "kw": ("power", 1000.0),
-}
-LINE_KEYS = ["series", "product line", "range", "model"]
-VARIANT_KEYS = ["version", "variant", "type", "ausführung"]
-COLOUR_KEYS = ["shade", "farbe", "colour", "color", "teinte"]
-#: Entries whose values look like sizes, lines or colours but are none.
-OTHER_KEYS = [
-    "temperature range", "working time", "shelf life", "hardness", "standard", "packaging", "country of manufacture", "pallet quantity", "revision",
-    "availability", "delivery", "customer rating", "use with", "system products", "compatible with", "mpn", "model no.", "hersteller-nr.", "manufacturer code",
-]
-
-_UNIT = "|".join(sorted(UNITS, key=len, reverse=True))
-_COLOUR = {w: c for c, ws in COLOURS.items() for w in ws}
-_VARIANT, _COMPANY, _OTHER = set(VARIANTS), set(COMPANY), set(OTHER_KEYS)
-_WORDS = re.compile(r"[^\W_]+")
-_SIZE = re.compile(rf"(?<![\w.,/-])(\d+(?:[.,]\d+)?)[\s ]*({_UNIT})(?![^\W_])(?<!in(?=\s[^\W\d_]))", re.I)
-_SPLIT_SIZE = re.compile(rf"(?<![\w.,])(\d) (\d) ?(kw|m|kg|l|ltr|litre)(?![^\W_])", re.I)
-_PART_NO = re.compile(rf"(?<![^\W_])(?:(?=[a-z]*\d)(?=\d*[a-z])[a-z0-9]{{3}}-[a-z0-9]{{3}}|[a-z0-9]{{2}}[ -](?!\d+(?:{_UNIT})(?![^\W_]))(?=[a-z0-9]*[a-z])(?=[a-z]*\d)[a-z0-9]{{4}})(?![^\W_])", re.I)
-_LINE = re.compile(r"(?<![^\W\d_])([^\W\d_]{5,})[\s®©™·/_–—-]*(\d{3,4})(?![^\W_])")
-_LOOSE_LINE = re.compile(r"(?<![^\W\d_])([^\W\d_]{5,})(?:\W|_){0,4}(\d{3,4})(?![^\W_])")
-_OF_KEY = re.compile(r"[^\w .-]+")
-_BLANKS = re.compile(r"\s+")
-_NICE = 0.02
-
-
-def _size(number: str, unit: str) -> str:
-    """Kind and amount in the base unit; rounded conversions meet again.
-
-    The amount is written with the fewest digits that change it by at most 2 %.
-    """
-    kind, factor = UNITS[unit.lower()]
-    amount = float(number.replace(",", ".")) * factor
-    for digits in (1, 2, 3):
-        short = float(f"{amount:.{digits}g}")
-        if amount and abs(short / amount - 1) <= _NICE:
-            return f"{kind}{short:g}"
-    return f"{kind}{amount:.4g}"
-
-
-def _find_size(text: str) -> str | None:
-    m = _SPLIT_SIZE.search(text)
-    if m:
-        return _size(f"{m[1]}.{m[2]}", m[3])
-    m = _SIZE.search(text)
-    return _size(m[1], m[2]) if m else None
-
 
-def _find_line(text: str, how: re.Pattern = _LINE) -> tuple[str, str] | None:
-    return next(((m[1], m[2]) for m in how.finditer(text) if m[1] not in _COLOUR and m[1] not in _VARIANT), None)
+def letter_pairs(names: Column) -> Column:
+    """The distinct pairs of neighbouring letters of all words, with marks at their ends."""
+    pairs = F.transform(names, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.concat(F.lit("^"), w, F.lit("$")).substr(i, F.lit(2))))
+    return F.array_distinct(F.flatten(pairs))
 
 
-def _entries(specs: str | None) -> dict[str, str]:
-    """Entries with one string value; keys in lower case without punctuation."""
-    if not specs:
-        return {}
-    try:
-        parsed = json.loads(specs)
-    except (ValueError, RecursionError):
-        return {}
-    if not isinstance(parsed, dict):
-        return {}
-    return {_BLANKS.sub(" ", _OF_KEY.sub("", k)).strip().lower(): _BLANKS.sub(" ", v).strip().lower() for k, v in parsed.items() if isinstance(v, str)}
-
-
-def describe(brand: str | None, name: str | None, specs: str | None, short: str | None) -> tuple:
-    """(brand, line, number, variant, size, colour) of a listing; null where untold.
-
-    A name or headline that tells the line and no variant tells that there is
-    none (an empty variant); a line told by the specs alone leaves it untold.
+def token_sets(described: DataFrame) -> DataFrame:
+    """One row per distinct description, with its tokens, their weight and its support.
 
-    Sources in order of trust: the specs' own entries, the lead of the short
-    description, the name. A name that gives no line as it stands is read with
-    its words in reverse order.
+    A token is a word or the brand together with a number the listing tells,
+    or without one where it tells none.
     """
-    entries = _entries(specs)
-    words = [w for w in _WORDS.findall((brand or "").lower()) if w not in _COMPANY]
-    maker = "".join(words) or None
-    title = _BLANKS.sub(" ", _PART_NO.sub(" ", _BLANKS.sub(" ", name or "").strip())).lower()
-    lead = _BLANKS.sub(" ", short or "").lower()
-    headline = lead.partition(":")[0] if ":" in lead else ""
-    line = next((x for k in LINE_KEYS if k in entries and (x := _find_line(entries[k]))), None) or (_find_line(headline) if headline else None)
-    size = next((x for k, v in entries.items() if k not in _OTHER and k not in LINE_KEYS and (x := _find_size(v))), None) or _find_size(lead)
-
-    def from_name(text: str):
-        return _find_line(_SIZE.sub(" ", text)), _find_size(text)
-
-    name_line, name_size = from_name(title)
-    if not (line or name_line) or not (size or name_size):
-        back_line, back_size = from_name(" ".join(reversed(_BLANKS.sub(" ", name or "").lower().replace("(", " ").replace(")", " ").split())))
-        name_line = name_line or back_line or _find_line(_SIZE.sub(" ", title), _LOOSE_LINE)
-        name_size = name_size or back_size
-    line, size = line or name_line, size or name_size
-    told = _WORDS.findall(title)
-    # a single word in a variant entry counts even if it isn't a known one
-    named = (_WORDS.findall(entries[k]) for k in VARIANT_KEYS if entries.get(k))
-    variant = next((w[0] for w in named if len(w) == 1), None) or next((w for w in told if w in _VARIANT), None)
-    if not variant and headline:
-        variant = next((w for w in _WORDS.findall(headline) if w in _VARIANT), None)
-    if not variant:
-        back = " ".join(reversed(_BLANKS.sub(" ", name or "").lower().replace("(", " ").replace(")", " ").split()))
-        bare = [_SIZE.sub(" ", x) for x in (title, headline, back)]
-        named = [_find_line(x) for x in bare] + [_find_line(bare[0], _LOOSE_LINE)]
-        variant = "" if line and any(x and x[1] == line[1] for x in named) else None
-    colour = next((_COLOUR.get(entries[k], entries[k]) for k in COLOUR_KEYS if entries.get(k)), None)
-    if not colour and "," in lead:
-        colour = next((_COLOUR[w] for w in _WORDS.findall(lead.rpartition(",")[2]) if w in _COLOUR), None)
-    colour = colour or next((_COLOUR[w] for w in reversed(told) if w in _COLOUR), None)
-    return (maker, line[0] if line else None, line[1] if line else None, variant, size, colour)
-
-
-_DESCRIBED = "id long, brand string, line string, number string, variant string, size string, colour string"
-
-
-def describe_listings(products: DataFrame) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        none = lambda v: v if isinstance(v, str) else None
-        for f in frames:
-            rows = [describe(none(b), none(n), none(t), none(s)) for b, n, t, s in zip(f["brand"], f["product_name"], f["technical_specs"], f["short_description"])]
-            out = pd.DataFrame(rows, columns=["brand", "line", "number", "variant", "size", "colour"], dtype=object)
-            out.insert(0, "id", f["listing_id"].to_numpy())
-            yield out
-
-    cols = products.select("listing_id", "brand", "product_name", "technical_specs", "short_description").filter("listing_id is not null")
-    return cols.mapInPandas(run, _DESCRIBED)
+    one = described.groupBy("set", "brand", "numbers", "names", *ATTRIBUTES).agg(F.count("*").alias("support"))
+    places = F.when(F.size("numbers") > 0, F.col("numbers")).otherwise(F.array(F.lit("")))
+    kinds = F.concat(F.transform("names", lambda w: F.struct(w.alias("word"), F.lit(WORD_WEIGHT).alias("w"))),
+                     F.when(F.col("brand").isNotNull() & (F.size("numbers") > 0), F.array(F.struct(F.concat(F.lit(" "), F.col("brand")).alias("word"), F.lit(BRAND_WEIGHT).alias("w")))).otherwise(F.array().cast("array<struct<word:string,w:int>>")))
+    tokens = F.flatten(F.transform(places, lambda p: F.transform(kinds, lambda k: F.struct(F.xxhash64(p, k["word"]).alias("token"), k["w"].alias("w")))))
+    return one.withColumn("tokens", tokens).withColumn("weight", F.aggregate("tokens", F.lit(0), lambda a, t: a + t["w"]))
 
 
-def token_sets(described: DataFrame) -> DataFrame:
-    """One row per distinct description: (set, brand, tokens, n, weight, support, ...).
+def _with_set(described: DataFrame) -> DataFrame:
+    nothing = [F.coalesce(c, F.lit("\x01")) for c in ("brand", *ATTRIBUTES)]
+    return described.withColumn("set", F.xxhash64(F.array_join("numbers", " "), F.array_join("names", "\x02"), *nothing))
 
-    ``set`` is a hash of the description, ``tokens`` the distinct hashed tokens.
-    """
-    held = F.xxhash64("number", F.coalesce("variant", F.lit("-")), F.coalesce("size", F.lit("-")), F.coalesce("colour", F.lit("-")))
-    one = described.filter("line is not null and number is not null").withColumn("held", held)
-    one = one.withColumn("set", F.xxhash64("held", "line", F.coalesce("brand", F.lit("-"))))
-    return _with_tokens(one.groupBy("set", "held", "line", "brand", "number", *ATTRIBUTES).agg(F.count("*").alias("support")))
 
+def _ranked(sets: DataFrame) -> DataFrame:
+    """(set, weight, token, w, after): tokens in order of rarity; ``after`` is the weight of those behind."""
+    flat = sets.select("set", "weight", F.explode("tokens").alias("t")).select("set", "weight", "t.token", "t.w")
+    rarity = flat.groupBy("token").agg(F.count("*").alias("df"))
+    known = salted_join(flat, rarity, "token", "inner")
+    order = known.groupBy("set", "weight").agg(F.array_sort(F.collect_list(F.struct("df", "token", "w"))).alias("o"))  # as many as the set has tokens
+    placed = order.select("set", "weight", "o", F.posexplode("o").alias("pos", "t"))
+    after = F.aggregate(F.slice("o", F.col("pos") + 2, F.size("o")), F.lit(0), lambda a, t: a + t["w"])
+    return placed.select("set", "weight", F.col("t.token").alias("token"), F.col("t.w").alias("w"), after.alias("after"))
 
-def _with_tokens(sets: DataFrame) -> DataFrame:
-    padded = F.concat(F.lit("^"), F.col("line"), F.lit("$"))
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("line") + 1), lambda i: padded.substr(i, F.lit(2))))
-    grams = F.transform(pairs, lambda g: F.struct(F.xxhash64("held", g).alias("token"), F.lit(1).alias("w")))
-    maker = F.when(F.col("brand").isNotNull(), F.array(F.struct(F.xxhash64("held", F.lit("brand"), F.col("brand")).alias("token"), F.lit(BRAND_WEIGHT).alias("w")))).otherwise(F.array().cast("array<struct<token:bigint,w:int>>"))
-    tokens = F.concat(grams, maker)
-    return sets.withColumn("tokens", tokens).withColumn("n", F.size("tokens")).withColumn("weight", F.aggregate("tokens", F.lit(0), lambda a, t: a + t["w"]))
 
+def contained(a: dict, b: dict, containment: float = CONTAINMENT) -> Column:
+    """Exact weighted containment of two sets' letter pairs and brands; two different brands never match."""
+    shared = F.size(F.array_intersect(a["pairs"], b["pairs"])) + F.when(a["brand"] == b["brand"], BRAND_WEIGHT).otherwise(0)
+    weigh = lambda s: F.size(s["pairs"]) + F.when(s["brand"].isNotNull(), BRAND_WEIGHT).otherwise(0)
+    return (shared >= F.lit(containment) * F.least(weigh(a), weigh(b)) - 1e-9) & F.coalesce(a["brand"] == b["brand"], F.lit(True))
 
-def similar_sets(sets: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+
+def similar_sets(sets: DataFrame, containment: float = CONTAINMENT, candidate: float = CANDIDATE) -> DataFrame:
     """(a, b) of all sets that contain each other well enough, a < b.
 
-    Prefix filter: tokens of a set in order of rarity; a pair with enough
-    shared weight shares at least one token of both prefixes. Length filter:
-    the numbers of tokens differ by at most LENGTH_GAP. Positional filter: what
-    can still follow the shared token must suffice. Then exact verification;
-    two known, different brands never match. With a boolean column ``open``
-    only pairs of an open ``a`` and another ``b`` are made, in either order.
+    Of two sets the lighter one must share ``candidate`` of its own weight, so
+    it shares a token before the rest of its tokens, in order of rarity, falls
+    below that (prefix filter); the partner may hold it anywhere and weighs at
+    least as much (length filter); the shared token and the lesser rest behind
+    it must reach that weight (positional filter). The tokens of the first
+    match decide, so no pair comes twice. Numbers, variant, size and colour
+    must agree, untold only with untold.
     """
-    sided = "open" in sets.columns
-    flat = sets.select("set", "n", "weight", F.explode("tokens").alias("t")).select("set", "n", "weight", "t.token", "t.w")
-    rarity = flat.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = flat.join(rarity.filter("df > 1"), "token")  # a token of one set joins nothing
-    # tokens that occur once are the rarest: they take the first places
-    order = ranked.groupBy("set", "n", "weight").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
-    order = order.withColumn("alone", F.col("n") - F.size("o"))
-    # the lightest partner within the length gap bounds the weight to be shared
-    least = F.greatest(F.lit(1), F.ceil(F.lit(containment) * F.greatest(F.lit(1), F.least(F.col("weight"), F.col("n") - LENGTH_GAP)) - 1e-9) - (BRAND_WEIGHT - 1))
-    prefix = (F.col("n") - least + 1 - F.col("alone")).cast("int")
-    entries = order.filter(prefix > 0).select("set", "n", "weight", "alone", F.posexplode(F.slice("o", F.lit(1), prefix)).alias("pos", "t"))
-    entries = cut(entries.select("set", "n", "weight", (F.col("pos") + F.col("alone")).alias("at"), F.col("t.token").alias("token")))
-    if sided:
-        entries = entries.join(sets.select("set", "open"), "set")
-    other = (entries.filter("not open") if sided else entries).select(F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("weight").alias("w_b"), F.col("at").alias("at_b"), "token")
-    near = (entries.filter("open") if sided else entries).withColumnRenamed("set", "a").join(other, "token").filter("true" if sided else "a < b").filter(F.abs(F.col("n") - F.col("n_b")) <= LENGTH_GAP)
-    need = F.lit(containment) * F.least("weight", "w_b") - (BRAND_WEIGHT - 1)
-    near = near.filter(1 + F.least("at", "at_b") + F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) - 1 >= need)
-    pairs = near.select("a", "b").distinct()
-    side = lambda s: sets.select(F.col("set").alias(s), F.col("brand").alias(f"brand_{s}"), F.col("tokens").alias(f"t_{s}"), F.col("weight").alias(f"weight_{s}"))
-    full = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = F.aggregate(F.array_intersect("t_a", "t_b"), F.lit(0), lambda x, t: x + t["w"])
-    enough = shared >= F.lit(containment) * F.least("weight_a", "weight_b") - 1e-9
-    return full.filter(enough & F.coalesce(F.col("brand_a") == F.col("brand_b"), F.lit(True))).select("a", "b")
+    ranked = cut(_ranked(sets))
+    bar = F.lit(candidate) * F.col("weight") - 1e-9
+    light = ranked.filter(F.col("after") + F.col("w") >= bar).select(F.col("set").alias("x"), F.col("weight").alias("wx"), "w", F.col("after").alias("after_x"), "token")
+    heavy = ranked.select(F.col("set").alias("y"), F.col("weight").alias("wy"), F.col("after").alias("after_y"), "token")
+    near = salted_join(light, heavy, "token", "inner").filter((F.col("wx") < F.col("wy")) | ((F.col("wx") == F.col("wy")) & (F.col("x") < F.col("y"))))
+    near = near.filter(F.col("w") + F.least("after_x", "after_y") >= F.lit(candidate) * F.col("wx") - 1e-9)
+    pairs = near.select("x", "y").distinct()
+    told = sets.select("set", F.struct("brand", "numbers", *ATTRIBUTES, letter_pairs(F.col("names")).alias("pairs")).alias("told"))
+    full = pairs.join(told.select(F.col("set").alias("x"), F.col("told").alias("tx")), "x").join(told.select(F.col("set").alias("y"), F.col("told").alias("ty")), "y")
+    x, y = F.col("tx"), F.col("ty")
+    same = F.arrays_overlap(x["numbers"], y["numbers"]) | (F.size(x["numbers"]) + F.size(y["numbers"]) == 0)
+    for c in ATTRIBUTES:
+        same = same & x[c].eqNullSafe(y[c])
+    return full.filter(same & contained(x, y, containment)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def star_clusters(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -265,24 +130,24 @@ def star_clusters(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 def fill_untold(sets: DataFrame, clusters: DataFrame) -> DataFrame:
     """(set, centre) after stars with untold attributes joined those that tell them.
 
-    A star fits one of similar line, the same number and no other known brand
+    A star fits one of similar words, a common number and no other known brand
     that agrees in all attributes the first tells and tells at least one more.
     If all that fit give one value at most for each attribute, it joins the one
     that tells most (then the best supported); otherwise it stays apart.
     """
-    rows = sets.join(clusters, "set").select("set", "centre", "brand", "line", "number", "support", *ATTRIBUTES)
-    ways = [[a for k, a in enumerate(ATTRIBUTES) if way >> k & 1] for way in range(1, 2 ** len(ATTRIBUTES))]
+    rows = cut(sets.join(clusters, "set").select("centre", "support", "brand", "numbers", letter_pairs(F.col("names")).alias("pairs"), *ATTRIBUTES))
     every = lambda names, told: F.lit(True) if not names else F.expr(" and ".join(f"{a} is {'not ' * told}null" for a in names))
+    ways = [[a for k, a in enumerate(ATTRIBUTES) if way >> k & 1] for way in range(1, 2 ** len(ATTRIBUTES))]
     rest = lambda way: [a for a in ATTRIBUTES if a not in way]
+    places = rows.withColumn("number", F.explode(F.when(F.size("numbers") > 0, F.col("numbers")).otherwise(F.array(F.lit("")))))
+    # a way is the set of attributes left untold; what is told must be equal and is part of the key
     key = lambda k, way: F.xxhash64(F.lit(k), "number", *[F.col(a) for a in rest(way)])
     fits = lambda way, is_open: every(rest(way), True) & (every(way, False) if is_open else ~every(way, False))
-    sided = lambda is_open: rows.withColumn("held", F.explode(F.filter(F.array(*[F.when(fits(way, is_open), key(k, way)) for k, way in enumerate(ways)]), lambda h: h.isNotNull()))).withColumn("open", F.lit(is_open))
-    untold, told = sided(True), sided(False)
-    both = untold.join(told.select("held").distinct(), "held", "left_semi").unionByName(told.join(untold.select("held").distinct(), "held", "left_semi"))
-    both = cut(_with_tokens(both.withColumn("own", F.col("set")).withColumn("set", F.xxhash64("own", "held", "open"))))
-    pairs = similar_sets(both)
-    to = both.select(F.col("set").alias("b"), F.col("centre").alias("to"), "support", *ATTRIBUTES)
-    fit = pairs.join(both.select(F.col("set").alias("a"), "centre"), "a").join(to, "b")
+    sided = lambda is_open: places.withColumn("held", F.explode(F.filter(F.array(*[F.when(fits(way, is_open), key(k, way)) for k, way in enumerate(ways)]), lambda h: h.isNotNull())))
+    told = F.struct("centre", "support", "brand", "pairs", *ATTRIBUTES)
+    untold, full = sided(True).select("held", told.alias("x")), sided(False).select("held", told.alias("y"))
+    fit = salted_join(full, untold, "held", "inner").filter(contained(F.col("x"), F.col("y")))
+    fit = fit.select(F.col("x.centre").alias("centre"), F.col("y.centre").alias("to"), F.col("y.support").alias("support"), *[F.col(f"y.{a}").alias(a) for a in ATTRIBUTES])
     tells = sum((F.col(a).isNotNull().cast("int") for a in ATTRIBUTES), F.lit(0))
     best = F.max(F.struct(tells.alias("tells"), "support", (-F.col("to")).alias("least"), "to"))["to"].alias("to")
     one = F.expr(" and ".join(f"(low_{a} is null or low_{a} = high_{a})" for a in ATTRIBUTES))
@@ -297,26 +162,35 @@ def fill_untold(sets: DataFrame, clusters: DataFrame) -> DataFrame:
 def same_items(products: DataFrame) -> DataFrame:
     """(listing_id, item) of every listing; item names its group.
 
-    Listings whose line or number can't be told are items of their own. Rows
-    with a null listing_id are left out; null and empty fields tell nothing;
-    an empty table gives no rows.
+    Every listing takes part: by its rare words and numbers, else by its codes,
+    else by all its words at once. Rows with a null listing_id are left out;
+    null and empty fields tell nothing; listings that tell nothing at all are
+    items of their own; an empty table gives no rows.
     """
-    described = cut(describe_listings(products))
+    described = cut(_with_set(describe(products)))
     sets = cut(token_sets(described))
     clusters = cut(fill_untold(sets, cut(star_clusters(sets, cut(similar_sets(sets))))))
-    held = F.xxhash64("number", F.coalesce("variant", F.lit("-")), F.coalesce("size", F.lit("-")), F.coalesce("colour", F.lit("-")))
-    told = F.col("line").isNotNull() & F.col("number").isNotNull()
-    keyed = described.select("id", F.when(told, F.xxhash64(held, "line", F.coalesce("brand", F.lit("-")))).alias("set"))
+    empty = (F.size("numbers") == 0) & (F.array_join("names", "") == " ")
+    keyed = described.select("id", F.when(~empty, F.col("set")).alias("set"))
     named = salted_join(keyed, clusters, "set", "left")
     return named.select(F.col("id").alias("listing_id"), F.coalesce(F.concat(F.lit("i"), F.col("centre")), F.concat(F.lit("l"), F.col("id"))).alias("item"))
 
 
-def item_pairs(items: DataFrame) -> DataFrame:
+#: Listings of one item in a block; pairs are made between two blocks at a time.
+BLOCK = 2_000
+
+
+def item_pairs(items: DataFrame, block: int = BLOCK) -> DataFrame:
     """(listing_id_a, listing_id_b), a < b, of all listings of one item.
 
-    The pairs of a large item are spread over many tasks.
+    The listings of an item are dealt to blocks of about ``block``; each pair
+    of blocks is one unit of work, so no task makes more than block^2 pairs of
+    one item, however large it is.
     """
     grouped = cut(items.select("listing_id", "item"))
-    left = grouped.select(F.col("listing_id").alias("listing_id_a"), "item")
-    right = grouped.select(F.col("listing_id").alias("listing_id_b"), "item")
-    return salted_join(left, right, "item", "inner").filter("listing_id_a < listing_id_b").select("listing_id_a", "listing_id_b")
+    sizes = grouped.groupBy("item").agg(F.count("*").alias("n")).filter("n > 1").select("item", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    dealt = salted_join(grouped, sizes, "item", "inner").withColumn("block", F.pmod(F.xxhash64("listing_id"), F.col("blocks")).cast("int"))
+    left = dealt.select(F.col("listing_id").alias("listing_id_a"), "item", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"))
+    right = dealt.select(F.col("listing_id").alias("listing_id_b"), "item", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"))
+    both = left.join(right, ["item", "i", "j"]).filter((F.col("i") != F.col("j")) | (F.col("listing_id_a") < F.col("listing_id_b")))
+    return both.select(F.least("listing_id_a", "listing_id_b").alias("listing_id_a"), F.greatest("listing_id_a", "listing_id_b").alias("listing_id_b"))
