@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from fieldtrace.operators.skew import HOT_SHARE, SALTS
+from fieldtrace.operators.skew import HOT_ROWS, salted_group, salted_join
 from fieldtrace.runtime import cut
 
 _NULL = "\x01"
@@ -46,29 +46,27 @@ def canonical_key(brand: Column, name: Column, url: Column, specs: Column) -> Co
     return F.unhex(F.md5(F.concat_ws("\x07", *[F.coalesce(f, F.lit(_NULL)) for f in fields])))
 
 
-def collapse(rows: DataFrame, salts: int = SALTS, share: int = HOT_SHARE) -> DataFrame:
-    """(id, kept_id, copies) of every row (id, key): the least id of its key.
+def records(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(key, kept_id, copies): one row per key of (id, key), with its least id.
 
-    Keys that hold more than 1/``share`` of the rows are found exactly by
-    counting; their rows are spread over ``salts`` and aggregated in two
-    levels, and the few results are joined back where the rows are. All other
-    groups are small and need one shuffle. Rows with a null id are left out; a
-    null key forms a group like any other; repeated rows count as copies.
+    Keys with more than ``hot_rows`` rows are found exactly by partial counts
+    and aggregated over salts in two levels; all others need one shuffle. Rows
+    with a null id are left out; a null key forms a group like any other;
+    repeated rows count as copies; an empty table gives no rows.
+    """
+    known = rows.filter("id is not null").select("id", F.coalesce("key", F.lit(b"")).alias("key"))
+    one = [F.min("id").alias("kept_id"), F.count("*").alias("copies")]
+    return salted_group(known, "key", one, [F.min("kept_id").alias("kept_id"), F.sum("copies").alias("copies")], hot_rows)
+
+
+def collapse(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(id, kept_id, copies) of the rows (id, key) whose key occurs more than once.
+
+    Only the records with copies are joined back, hot ones spread over tasks.
     """
     rows = cut(rows.select("id", F.coalesce("key", F.lit(b"")).alias("key")).filter("id is not null"))
-    counts = rows.groupBy("key").agg(F.count("*").alias("n"))
-    total = rows.count()
-    hot = [r["key"] for r in counts.filter(F.col("n") > max(total // share, 10_000)).select("key").collect()]  # at most ``share`` keys
-    w = Window.partitionBy("key")
-    rest = rows.filter(~F.col("key").isin(hot)) if hot else rows
-    out = rest.select("id", F.min("id").over(w).alias("kept_id"), F.count("*").over(w).alias("copies"))
-    if not hot:
-        return out
-    spread = rows.filter(F.col("key").isin(hot)).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-    partial = spread.groupBy("key", "salt").agg(F.min("id").alias("kept_id"), F.count("*").alias("copies"))
-    whole = partial.groupBy("key").agg(F.min("kept_id").alias("kept_id"), F.sum("copies").alias("copies"))
-    back = spread.select("id", "key").join(F.broadcast(whole), "key")  # as many rows as hot keys
-    return out.unionByName(back.select("id", "kept_id", "copies"))
+    several = cut(records(rows, hot_rows).filter("copies > 1"))
+    return salted_join(rows, several, "key", "inner", hot_rows).select("id", "kept_id", "copies")
 
 
 def product_keys(products: DataFrame) -> DataFrame:

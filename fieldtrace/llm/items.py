@@ -44,6 +44,7 @@ def token_sets(described: DataFrame) -> DataFrame:
     places = F.when(F.size("numbers") > 0, F.col("numbers")).otherwise(F.array(F.lit("")))
     kinds = F.concat(F.transform("names", lambda w: F.struct(w.alias("word"), F.lit(WORD_WEIGHT).alias("w"))),
                      F.when(F.col("brand").isNotNull() & (F.size("numbers") > 0), F.array(F.struct(F.concat(F.lit(" "), F.col("brand")).alias("word"), F.lit(BRAND_WEIGHT).alias("w")))).otherwise(F.array().cast("array<struct<word:string,w:int>>")))
+    kinds = F.when(F.size(kinds) > 0, kinds).otherwise(F.array(F.struct(F.lit("").alias("word"), F.lit(1).alias("w"))))
     tokens = F.flatten(F.transform(places, lambda p: F.transform(kinds, lambda k: F.struct(F.xxhash64(p, k["word"]).alias("token"), k["w"].alias("w")))))
     return one.withColumn("tokens", tokens).withColumn("weight", F.aggregate("tokens", F.lit(0), lambda a, t: a + t["w"]))
 
@@ -170,7 +171,7 @@ def same_items(products: DataFrame) -> DataFrame:
     described = cut(_with_set(describe(products)))
     sets = cut(token_sets(described))
     clusters = cut(fill_untold(sets, cut(star_clusters(sets, cut(similar_sets(sets))))))
-    empty = (F.size("numbers") == 0) & (F.array_join("names", "") == " ")
+    empty = (F.size("numbers") == 0) & (F.trim(F.array_join("names", "")) == "")
     keyed = described.select("id", F.when(~empty, F.col("set")).alias("set"))
     named = salted_join(keyed, clusters, "set", "left")
     return named.select(F.col("id").alias("listing_id"), F.coalesce(F.concat(F.lit("i"), F.col("centre")), F.concat(F.lit("l"), F.col("id"))).alias("item"))

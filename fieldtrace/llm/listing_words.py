@@ -18,6 +18,8 @@ TOLD_AGAIN = 0.05
 KEY_SHARE = 10_000
 #: A word is common if it occurs in more than one of so many contexts (brand and numbers).
 COMMON_SHARE = 400
+#: A word in at most so many contexts is never common, so that a small table has names at all.
+NEVER_COMMON = 8
 #: A variant in a title stands at most so many words from the number.
 REACH = 2
 
@@ -158,9 +160,9 @@ def common_words(told: DataFrame) -> list[str]:
     rows = told.select(every.alias("w"), context.alias("context"))
     n, contexts = rows.agg(F.count("*"), F.approx_count_distinct("context", 0.05)).first()
     flat = rows.select(F.explode("w").alias("w"), "context")
-    often = flat.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") > max(n, 1) / COMMON_SHARE).select("w")
+    often = flat.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") > max(n / COMMON_SHARE, NEVER_COMMON)).select("w")
     spread = flat.join(F.broadcast(cut(often)), "w").groupBy("w").agg(F.approx_count_distinct("context", 0.05).alias("contexts"))
-    return sorted(r["w"] for r in spread.filter(F.col("contexts") > max(contexts, 1) / COMMON_SHARE).select("w").collect())
+    return sorted(r["w"] for r in spread.filter(F.col("contexts") > max(contexts / COMMON_SHARE, NEVER_COMMON)).select("w").collect())
 
 
 def variant_words(told: DataFrame, common: list[str]) -> list[str]:
@@ -201,30 +203,34 @@ def size_names(told: DataFrame) -> DataFrame:
 def describe(products: DataFrame) -> DataFrame:
     """(id, brand, numbers, names, variant, size, colour) of every listing.
 
-    ``numbers`` and ``names`` are its rare numbers and words, distinct and in
-    order; without either, its mixed codes are its names, and without those all
-    its words as one. ``variant`` is empty if the title tells a number and no
-    variant, null if it can't be told. Null and empty fields tell nothing.
+    ``numbers`` are its rare numbers; where it has none, the common ones beside
+    a rare word, and else its codes of letters and digits. ``names`` are its
+    rare words; a listing without numbers and names has all its words as one
+    name. ``variant`` is empty if the title tells a number and no variant, null
+    if it can't be told. Null and empty fields tell nothing.
     """
     listings = cut(fields(spread(products)))
     keys, colour_keys = identifying_keys(listings)
     told = cut(tell(listings, keys, colour_keys))
     common = common_words(told)
     variants = variant_words(told, common)
-    rare = lambda c: F.filter(c, lambda w: ~w.isin(common)) if common else F.col(c)
-    d = told.withColumn("every", F.array_distinct(F.concat("title", "told"))).withColumn("rare", rare("every"))
-    numbers = F.array_sort(F.filter("rare", lambda w: w.rlike(r"^\p{Nd}{2,}$")))
-    names = F.array_sort(F.filter("rare", lambda w: w.rlike(r"^[\p{L}\p{M}]{3,}$") & ~F.coalesce(F.contains("brand", w), F.lit(False))))
-    codes = F.array_sort(F.filter("rare", lambda w: w.rlike(r"\p{L}") & w.rlike(r"\p{N}")))
+    is_common = (lambda w: w.isin(common)) if common else (lambda w: F.lit(False))
+    is_word = lambda w: w.rlike(r"^[\p{L}\p{M}]{3,}$")
+    d = told.withColumn("every", F.array_distinct(F.concat("title", "told"))).withColumn("rare", F.filter("every", lambda w: ~is_common(w)))
+    d = d.withColumn("names", F.array_sort(F.filter("rare", lambda w: is_word(w) & ~w.isin(list(_COLOUR_OF)) & ~F.coalesce(F.contains("brand", w), F.lit(False)))))
+    rare_numbers = F.filter("rare", lambda w: w.rlike(r"^\p{Nd}{2,}$"))
+    beside = lambda i: F.exists(F.slice("title", F.greatest(F.lit(1), i), F.lit(3)), lambda w: F.array_contains("names", w))
+    placed_numbers = F.filter(F.transform("title", lambda w, i: F.when(w.rlike(r"^\p{Nd}+$") & beside(i), w)), lambda w: w.isNotNull())
+    codes = F.filter("rare", lambda w: w.rlike(r"\p{L}") & w.rlike(r"\p{N}"))
+    numbers = F.when(F.size(rare_numbers) > 0, rare_numbers).when(F.size(placed_numbers) > 0, F.array_distinct(placed_numbers)).otherwise(codes)
+    d = d.withColumn("numbers", F.array_sort(numbers))
     whole = F.array(F.concat_ws(" ", F.array_sort("every"), F.coalesce("size", F.lit(""))))
-    d = d.withColumn("numbers", numbers).withColumn("names", F.when(F.size(names) > 0, names).when(F.size("numbers") > 0, names).when(F.size(codes) > 0, codes).otherwise(whole))
+    d = d.withColumn("names", F.when(F.size("names") + F.size("numbers") > 0, F.col("names")).otherwise(whole))
+    untold = F.when(F.arrays_overlap("title", "numbers"), F.lit(""))
     if variants:
         is_variant = lambda w: w.isin(variants)
-        value = F.get(F.filter("singles", is_variant), F.lit(0))
         near = lambda i: F.exists(F.slice("title", F.greatest(F.lit(1), i + 1 - REACH), F.least(F.lit(2 * REACH + 1), i + 1 + REACH)), lambda w: F.array_contains("numbers", w))
         placed = F.filter(F.transform("title", lambda w, i: F.when(is_variant(w) & ((F.size("numbers") == 0) | near(i)), w)), lambda w: w.isNotNull())
-        variant = F.coalesce(value, F.get(placed, F.lit(0)), F.when(F.arrays_overlap("title", "numbers"), F.lit("")))
-    else:
-        variant = F.when(F.arrays_overlap("title", "numbers"), F.lit(""))
-    d = d.withColumn("variant", variant)
+        untold = F.coalesce(F.get(F.filter("singles", is_variant), F.lit(0)), F.get(placed, F.lit(0)), untold)
+    d = d.withColumn("variant", untold)
     return d.join(size_names(told), "size", "left").select("id", "brand", "numbers", "names", "variant", F.col("size_key").alias("size"), "colour")

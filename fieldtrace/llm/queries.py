@@ -14,18 +14,17 @@ from fieldtrace.operators.skew import salted_join
 from fieldtrace.runtime import cut, table
 
 
-def _collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "products").select("listing_id", "brand", "product_name", "source_url", "technical_specs")
-    return C.collapse(C.product_keys(rows))
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.product_keys(table(spark, sf_dir, "products").select("listing_id", "brand", "product_name", "source_url", "technical_specs"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _collapsed(spark, sf_dir).filter("id <> kept_id").select("kept_id", F.col("id").alias("copy_id"))
+    return C.collapse(_keyed(spark, sf_dir)).filter("id <> kept_id").select("kept_id", F.col("id").alias("copy_id"))
 
 
 def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per record with the number of its copies."""
-    return _collapsed(spark, sf_dir).filter("id = kept_id").select("kept_id", "copies")
+    return C.records(cut(_keyed(spark, sf_dir))).select("kept_id", "copies")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

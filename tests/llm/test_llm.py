@@ -117,8 +117,9 @@ def test_copies(spark):
 
 def test_hot_copies_take_two_levels(spark):
     df = spark.range(60_000).selectExpr("id", "case when id % 3 = 0 then unhex('AAAA') when id % 3 = 1 then null else unhex(concat('FF', lpad(hex(id), 8, '0'))) end as key")
-    got = {r["n"]: (r["kept"], r["rows"]) for r in copies.collapse(df, share=4).groupBy("copies").agg({"kept_id": "min", "id": "count"}).toDF("n", "kept", "rows").collect()}
-    assert got == {20_000: (0, 40_000), 1: (2, 20_000)}
+    got = {r["n"]: (r["kept"], r["rows"]) for r in copies.collapse(df, hot_rows=1_000).groupBy("copies").agg({"kept_id": "min", "id": "count"}).toDF("n", "kept", "rows").collect()}
+    assert got == {20_000: (0, 40_000)}
+    assert {(r["copies"], r["n"]) for r in copies.records(df, hot_rows=1_000).groupBy("copies").count().toDF("copies", "n").collect()} == {(20_000, 2), (1, 20_000)}
 
 
 # problem 3
@@ -174,66 +175,7 @@ def test_pigeonhole_finds_all_within_k(spark):
     assert {r["key"]: r["canon_id"] for r in mapping.closest(df, keys).collect()} == want
 
 
-# problem 4
-LISTING = "listing_id long, brand string, product_name string, technical_specs string, short_description string, item string, set string"
-
-
-def test_describe_units_languages_and_decoys():
-    d = items.describe
-    assert d("Krundal®", "Krundal Juspomoss-2351-Rapid cistern valve 23.6inch, anthrazit", None, None) == ("krundal", "juspomoss", "2351", "rapid", "length600", "anthracite")
-    assert d("THE Krundal COMPANY", "cistern valve", '{"Series": "Juspomoss 2351", "Use with": ["Juspomoss 2359", "primer"], "Farbe": "AN", "Width": "0.6 m", "Version": "Rapid"}', "") == ("krundal", "juspomoss", "2351", "rapid", "length600", "anthracite")
-    assert d(None, "AN 60cm valve Rapid 2351 Juspomoss", "not json", None)[1:4] == ("juspomoss", "2351", "rapid")
-    assert d("a", "Juspomoss 2351 5 kg", '{"Version": "Turbo", "Type": "valve for walls"}', None)[3:5] == ("turbo", "weight5000")
-    assert d(None, None, None, None) == (None,) * 6
-
-
-def test_items(spark):
-    rows = [
-        (1, "Krundal", "Krundal Juspomoss 2351 Rapid valve 300 mm red", None, None), (2, "krundal GmbH", "Juspomoss-2351/Rapid 30cm rot", None, ""), (3, None, "valve Juspomoss 2351 Rapid 0.3 m RD", None, None),
-        (4, "Krundal", "Juspomooss 2351 Rapid 11.8 in, red", None, None), (5, "Krundal", "Juspomoss 2351 Eco 300 mm red", None, None), (6, "Krundal", "Juspomoss 2351 Rapid 600 mm red", None, None),
-        (7, "Other", "Juspomoss 2351 Rapid 300 mm red", None, None), (8, None, None, None, None), (9, "", "", "{}", ""), (None, "Krundal", "Juspomoss 2351 Rapid 300 mm red", None, None)]
-    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], LISTING)
-    got = items.same_items(df)
-    groups = {}
-    for r in got.collect():
-        groups.setdefault(r["item"], set()).add(r["listing_id"])
-    assert sorted(map(sorted, groups.values())) == [[1, 2, 3, 4], [5], [6], [7], [8], [9]]
-    assert {tuple(r) for r in items.item_pairs(got).collect()} == set(itertools.combinations([1, 2, 3, 4], 2))
-    assert items.same_items(df.limit(0)).count() == 0
-
-
-def test_untold_attributes_join_the_one_item_that_fits(spark):
-    specs = '{"Range": "Juspomoss 2351"}'
-    rows = [
-        (1, "Krundal", "Juspomoss 2351 Rapid valve 300 mm red", None), (2, "Krundal", "valve 300 mm red", specs), (3, "Krundal", "valve red", specs), (4, None, "Juspomoss 2351 Rapid valve 300 mm", None), (5, "Other", "valve 300 mm red", specs),
-        # two variants, or one and none, fit: apart from both, but together
-        (11, "Krundal", "Kemlabont 77 1", None), (12, "Krundal", "Torrudan 8624 Rapid 5 kg", None), (13, "Krundal", "Torrudan 8624 Eco 5 kg", None), (14, "Krundal", "drill 5 kg", '{"Range": "Torrudan 8624"}'), (15, "Krundal", "drill, 5 kg", '{"Model": "Torrudan 8624"}'),
-        (21, "Krundal", "Zanpodan 4213 Rapid 5 kg", None), (22, "Krundal", "Zanpodan 4213 5 kg", None), (23, "Krundal", "lacquer 5 kg", '{"Range": "Zanpodan 4213"}'),
-        # a name that tells the line and no variant tells that there is none
-        (31, "Krundal", "Moknedan-766 drill 5 kg", None), (32, "Krundal", "Moknedan-766 Eco drill 5 kg", None), (41, "Krundal", "Nurpodan 7610 5 kg", None), (42, "Krundal", "drill 5 kg", '{"Range": "Nurpodan 7610"}')]
-    df = spark.createDataFrame([(k, b, n, s, None, "", "") for k, b, n, s in rows], LISTING)
-    groups = {}
-    for r in items.same_items(df).collect():
-        groups.setdefault(r["item"], set()).add(r["listing_id"])
-    assert sorted(map(sorted, groups.values())) == [[1, 2, 3, 4], [5], [11], [12], [13], [14, 15], [21], [22], [23], [31], [32], [41, 42]]
-
-
-def test_similar_sets_equal_brute_force(spark):
-    rnd = random.Random(2)
-    lines = ["juspomoss", "juspomos", "juspomosss", "jusplmoss", "kemlabont", "kemlabnot", "kemlaxa", "torrudan", "torrrudan", "trrudan", "torrudna"]
-    rows = [(k, rnd.choice(["a", "b", None]), line, str(rnd.randint(100, 101)), None, "s", None) for k, line in enumerate(lines * 4)]
-    df = spark.createDataFrame(rows, items._DESCRIBED)
-    sets = items.token_sets(df)
-    table = {r["set"]: (r["brand"], {(t["token"], t["w"]) for t in r["tokens"]}) for r in sets.collect()}
-    want = set()
-    for a, b in itertools.combinations(sorted(table), 2):
-        (ba, ta), (bb, tb) = table[a], table[b]
-        shared = sum(w for _, w in ta & tb)
-        if (ba is None or bb is None or ba == bb) and abs(len(ta) - len(tb)) <= items.LENGTH_GAP and shared >= items.CONTAINMENT * min(sum(w for _, w in t) for t in (ta, tb)) - 1e-9:
-            want.add((a, b))
-    assert {tuple(r) for r in items.similar_sets(sets).collect()} == want
-
-
+# problem 4; more in test_items.py
 def test_stars(spark):
     sets = spark.createDataFrame([(1, 9), (2, 1), (3, 1), (4, 5), (5, 1), (6, 1)], "set long, support long")
     pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5)], "a long, b long")
