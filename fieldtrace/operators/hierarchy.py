@@ -18,7 +18,10 @@ from fieldtrace.operators.skew import salted_join
 from fieldtrace.runtime import cut
 
 FRAGMENT_ROWS = 30_000
-_LOCAL = "bucket long, id long, exit long, exit_parent long, below string, below_n int, below_lo long, loop long"
+#: Longest path inside a fragment and bytes of all paths of a bucket; where a
+#: single label is longer, a fragment still takes ``LEAST_LABELS`` of them.
+FRAGMENT_BYTES, BUCKET_BYTES, LEAST_LABELS = 2_000, 60_000_000, 4
+_LOCAL = "bucket long, id long, exit long, exit_parent long, below string, below_n int, below_lo long, loop long, split boolean"
 
 
 def latest_rows(tree: DataFrame, id_col: str = "id", order_col: str = "loaded_at") -> DataFrame:
@@ -35,7 +38,11 @@ def latest_rows(tree: DataFrame, id_col: str = "id", order_col: str = "loaded_at
 
 
 def _contract(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Local chains of one bucket: exit, path below it, or the loop's least id."""
+    """Local chains of one bucket: exit, path below it, or the loop's least id.
+
+    A chain whose path would grow too long is split there: the node becomes an
+    exit of its own, as if its parent lay elsewhere.
+    """
     ids, seg, seg_n, lo = (pdf[c].tolist() for c in ("id", "seg", "seg_n", "lo"))
     at = {x: k for k, x in enumerate(ids)}
     parents = [None if p is pd.NA or p is None or p != p else int(p) for p in pdf["parent"].astype("Int64").tolist()]
@@ -44,6 +51,8 @@ def _contract(pdf: pd.DataFrame) -> pd.DataFrame:
     top, loop = [-1] * n, [None] * n
     below, below_n, below_lo = [""] * n, [0] * n, [None] * n
     state = bytearray(n)  # 0 new, 1 on the present chain, 2 done
+    split = [False] * n
+    longest = max(FRAGMENT_BYTES, LEAST_LABELS * max(map(len, seg), default=0))
     for start in range(n):
         chain, k = [], start
         while k >= 0 and state[k] == 0:
@@ -62,6 +71,8 @@ def _contract(pdf: pd.DataFrame) -> pd.DataFrame:
                 top[k] = k
             elif loop[p] is not None:
                 loop[k] = loop[p]
+            elif len(below[p]) + len(seg[k]) >= longest:
+                top[k], split[k] = k, True
             else:
                 top[k] = top[p]
                 below[k] = f"{below[p]}.{seg[k]}" if below[p] else seg[k]
@@ -73,7 +84,7 @@ def _contract(pdf: pd.DataFrame) -> pd.DataFrame:
         "exit": pd.array([None if t < 0 else ids[t] for t in top], "Int64"),
         "exit_parent": pd.array([parents[t] if t >= 0 else None for t in top], "Int64"),
         "below": below, "below_n": pd.array(below_n, "int32"),
-        "below_lo": pd.array(below_lo, "Int64"), "loop": pd.array(loop, "Int64"),
+        "below_lo": pd.array(below_lo, "Int64"), "loop": pd.array(loop, "Int64"), "split": split,
     })
 
 
@@ -96,13 +107,9 @@ def _bucketed(nodes: DataFrame, level: int, count: int, fragment_rows: int, loca
     key = F.xxhash64(F.lit(level), mate)
     if locality:
         sizes = nodes.filter(F.col(locality).isNotNull()).groupBy(locality).agg(F.count("*").alias("__n"))
-        # at most count / fragment_rows values can be larger than a fragment
-        large = [r[0] for r in sizes.filter(F.col("__n") > fragment_rows).select(locality).collect()] if count < 1_000 * fragment_rows else None
-        if large is None:
-            marked = nodes.join(sizes.filter(F.col("__n") > fragment_rows), locality, "left")
-            whole = F.col("__n").isNull() & F.col(locality).isNotNull()
-            return marked.withColumn("bucket", F.pmod(F.when(whole, F.xxhash64(F.lit("l"), locality)).otherwise(key), F.lit(buckets))).drop("__n")
-        whole = F.col(locality).isNotNull() & ~F.col(locality).isin(large) if large else F.col(locality).isNotNull()
+        # at most count / fragment_rows values are larger than a fragment; they stay a table
+        nodes = salted_join(nodes, sizes.filter(F.col("__n") > fragment_rows), locality, "left")
+        whole = F.col("__n").isNull() & F.col(locality).isNotNull()
         key = F.when(whole, F.xxhash64(F.lit("l"), locality)).otherwise(key)
     return nodes.withColumn("bucket", F.pmod(key, F.lit(buckets)))
 
@@ -112,11 +119,12 @@ def _solve(nodes: DataFrame, level: int, fragment_rows: int, locality: str | Non
 
     ``nodes`` is a written table (id, parent, seg, seg_n, lo[, locality]).
     """
-    count = nodes.count()
+    count, label = nodes.agg(F.count("*"), F.max(F.length("seg"))).first()
+    fragment_rows = max(1, min(fragment_rows, BUCKET_BYTES // max(FRAGMENT_BYTES, LEAST_LABELS * (label or 0))))
     buckets = _bucketed(nodes, level, count, fragment_rows, locality)
     cols = ["bucket", "id", "parent", "seg", "seg_n", "lo"]
     local = cut(buckets.select(*cols).groupBy("bucket").applyInPandas(_contract, _LOCAL).drop("bucket"))
-    if count <= fragment_rows:  # everything was local: only true roots remain
+    if count <= fragment_rows and local.filter("split").isEmpty():  # everything was local: only true roots remain
         mine = nodes.select(F.col("id").alias("exit"), F.col("seg").alias("top_seg"), F.col("seg_n").alias("top_n"))
         solved = salted_join(local, mine, "exit", "left")
         return solved.select(

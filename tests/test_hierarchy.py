@@ -71,3 +71,35 @@ def test_descendants(spark):
     df = spark.createDataFrame([(1, None), (2, 1), (3, 2), (9, 9)], "id long, parent_id long")
     got = {tuple(r) for r in H.descendants(H.hierarchy(df)).collect()}
     assert got == {(1, 2, 1), (1, 3, 2), (2, 3, 1)}
+
+
+def test_a_long_chain_is_split_by_bytes(spark):
+    from fieldtrace.operators import hierarchy as H
+
+    n = 6_000
+    rows = spark.range(n).selectExpr("id + 100000 as id", "case when id > 0 then id + 99999 end as parent_id")
+    got = H.hierarchy(rows).agg({"depth": "max", "full_path": "max"}).first()
+    assert got["max(depth)"] == n
+    deep = H.hierarchy(rows).filter(f"depth = {n}").first()
+    assert deep["root_id"] == 100000 and deep["full_path"] == ".".join(str(100000 + k) for k in range(n))
+    # no path inside a fragment is longer than the bound
+    import pandas as pd
+
+    part = pd.DataFrame({"bucket": 0, "id": range(n), "parent": pd.array([None, *range(n - 1)], "Int64"), "seg": [str(k) for k in range(n)], "seg_n": 1, "lo": range(n)})
+    local = H._contract(part)
+    assert local["below"].map(len).max() <= H.FRAGMENT_BYTES and local["split"].sum() > 5
+
+
+def test_long_chain_with_loops_and_wide_nodes(spark):
+    from fieldtrace.operators import hierarchy as H
+
+    links = [(k, k - 1 if k else None) for k in range(700)] + [(1000 + k, 699) for k in range(300)] + [(2000 + k, 2000 + (k + 1) % 600) for k in range(600)] + [(3000 + k, 2999 + k if k else 2500) for k in range(500)]
+    df = spark.createDataFrame(links, "id long, parent_id long")
+    old = H.FRAGMENT_BYTES
+    H.FRAGMENT_BYTES = 60
+    try:
+        got = {r["id"]: (r["root_id"], r["depth"], r["full_path"]) for r in H.hierarchy(df, fragment_rows=200).collect()}
+    finally:
+        H.FRAGMENT_BYTES = old
+    path = ".".join(map(str, range(700)))
+    assert got[699] == (0, 700, path) and got[1299] == (0, 701, path + ".1299") and got[2001] == got[3499] == (2000, 0, "cycle") and len(got) == len(links)
