@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.classic.column import Column as ClassicColumn
 
-#: The filter never exceeds this many bits (8 MB), however many keys there are.
-#: Beyond it only the share of false positives grows, which costs join work.
+#: A filter never exceeds this many bits (8 MB); more keys take several filters.
 MAX_BITS = 64 * 1024 * 1024
 BITS_PER_KEY = 12
 
@@ -19,6 +18,16 @@ def _column(spark, expression) -> Column:
     return ClassicColumn(spark._jvm.org.apache.spark.sql.classic.ExpressionUtils.column(expression))
 
 
+def parts(keys: int, max_bits: int = MAX_BITS) -> int:
+    """How many filters ``keys`` keys need, each of them full enough and none too full."""
+    return max(1, -(-keys * BITS_PER_KEY // max_bits))
+
+
+def part_of(key: Column, count: int) -> Column:
+    """The part of a key, by a hash of its own."""
+    return F.pmod(F.xxhash64(F.lit(17), key), F.lit(count)).cast("int")
+
+
 def build(df: DataFrame, key: str, keys: int) -> bytes:
     """Filter of all non-null values of ``key``; at most 8 MB reach the driver."""
     spark = df.sparkSession

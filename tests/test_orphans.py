@@ -37,3 +37,14 @@ def test_spelled_integers_and_paths(spark):
     rows = df.select(O.spelled_integer(F.col("a")), O.path_ids(F.col("b"))).collect()
     assert [r[0] for r in rows] == [12, 12, None, None, None, None]
     assert [r[1] for r in rows] == [[1, 2, 3], [7, 8], [], None, [], [4]]
+
+
+def test_parents_too_many_for_one_filter(spark):
+    from fieldtrace.operators import bloom
+    from fieldtrace.operators.orphans import orphans
+
+    parents = spark.range(0, 6_000, 2).selectExpr("id", "timestamp'2020-01-01' as created_at", "cast(null as timestamp) as deleted_at")
+    refs = spark.range(6_000).selectExpr("'t' as table_name", "id as record_id", "'f' as field_name", "id as ref_id", "timestamp'2024-05-01' as at")
+    assert bloom.parts(3_000, 8_192) == 5
+    got = {r["record_id"] for r in orphans(refs, parents, max_bits=8_192).collect()}
+    assert got == set(range(1, 6_000, 2))
