@@ -190,20 +190,21 @@ def snapshot_changes(rows: DataFrame, log: DataFrame, keys_per_bucket: int = KEY
     w = Window.partitionBy("workspace").orderBy("snapshot_no")
     done = log.filter(clean("status") == "complete").select("workspace", "snapshot_no").filter("workspace is not null and snapshot_no is not null").distinct()
     done = done.withColumn("earlier", F.lag("snapshot_no").over(w)).withColumn("later", F.lead("snapshot_no").over(w))
-    keyed = rows.filter("kind is not null and id is not null").join(done, ["workspace", "snapshot_no"]).select(
-        "workspace", "snapshot_no", "earlier", "later", clean("kind").alias("kind"), "id",
-        F.struct("version", "loaded_at", json_digest(F.col("data")).alias("digest")).alias("row"))
-    one = keyed.groupBy("workspace", "snapshot_no", "earlier", "later", "kind", "id").agg(F.max("row")["digest"].alias("digest"))
-    one = cut(one.withColumn("kh", F.xxhash64("workspace", "kind", "id")).withColumn("dh", F.xxhash64("digest")))
-
+    valid = rows.filter("kind is not null and id is not null").join(done, ["workspace", "snapshot_no"])
     # bounded by the number of snapshots: sizes decide how many buckets a pair has
-    sizes = one.groupBy("workspace", "snapshot_no").agg(F.count("*").alias("rows"))
-    most = sizes.groupBy("workspace").agg(F.greatest(F.lit(1), F.ceil(F.max("rows") / keys_per_bucket)).cast("long").alias("buckets"))
+    sizes = valid.groupBy("workspace", "snapshot_no").agg(F.count("*").alias("rows"))
+    most = cut(sizes.groupBy("workspace").agg(F.greatest(F.lit(1), F.ceil(F.max("rows") / keys_per_bucket)).cast("long").alias("buckets")))
+    keyed = valid.join(most, "workspace").withColumn("kind", clean("kind")).withColumn("kh", F.xxhash64("workspace", "kind", "id")).select(
+        "workspace", F.pmod("kh", "buckets").alias("bucket"), "snapshot_no", "earlier", "later", "kind", "id", "kh",
+        F.struct("version", "loaded_at", json_digest(F.col("data")).alias("digest")).alias("row"))
+    # one shuffle: a bucket's rows lie together from here on, so a bucket's
+    # cells are summed where they are read and only sums travel
+    one = keyed.repartition("workspace", "bucket").groupBy("workspace", "bucket", "snapshot_no", "earlier", "later", "kind", "id", "kh").agg(F.max("row")["digest"].alias("digest"))
+    one = cut(one.withColumn("dh", F.xxhash64("digest")).sortWithinPartitions("workspace", "bucket"))
     signs = F.array(
         F.struct(F.col("snapshot_no").alias("pair"), F.lit(1).alias("sign"), F.col("earlier").isNotNull().alias("use")),
         F.struct(F.col("later").alias("pair"), F.lit(-1).alias("sign"), F.col("later").isNotNull().alias("use")))
-    items = one.join(most, "workspace").withColumn("s", F.explode(signs)).filter("s.use").select(
-        "workspace", F.col("s.pair").alias("pair"), F.pmod("kh", "buckets").alias("bucket"), "kh", "dh", F.col("s.sign").alias("sign"), "kind", "id", "digest")
+    items = one.withColumn("s", F.explode(signs)).filter("s.use").select("workspace", F.col("s.pair").alias("pair"), "bucket", "kh", "dh", F.col("s.sign").alias("sign"))
 
     total = one.count()
     found, cells, again = [], first_cells, items
@@ -223,9 +224,11 @@ def snapshot_changes(rows: DataFrame, log: DataFrame, keys_per_bucket: int = KEY
     for more in found[1:]:
         recovered = recovered.unionByName(more)
     # back from hashes to keys; the digest is the verified 128-bit one
-    named = items.join(recovered, ["workspace", "pair", "kh", "dh", "sign"], "left_semi").select("workspace", "pair", "kind", "id", "sign", "digest")
+    side = F.when(F.col("sign") == 1, F.col("snapshot_no")).otherwise(F.col("later")) == F.col("pair")
+    named = one.join(recovered, ["workspace", "kh", "dh"]).filter(side).select("workspace", "pair", "kind", "id", "sign", "digest")
     if failed is not None:  # the exact way for what no table could hold
-        named = named.unionByName(items.join(failed, ["workspace", "pair", "bucket"], "left_semi").select("workspace", "pair", "kind", "id", "sign", "digest"))
+        both = one.withColumn("s", F.explode(signs)).filter("s.use").select("workspace", F.col("s.pair").alias("pair"), "bucket", F.col("s.sign").alias("sign"), "kind", "id", "digest")
+        named = named.unionByName(both.join(failed, ["workspace", "pair", "bucket"], "left_semi").select("workspace", "pair", "kind", "id", "sign", "digest"))
     told = named.groupBy("workspace", "pair", "kind", "id").agg(F.max(F.when(F.col("sign") == 1, F.col("digest"))).alias("new"), F.max(F.when(F.col("sign") == -1, F.col("digest"))).alias("old"))
     change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("new") != F.col("old"), "changed")
     return told.withColumn("change_type", change).filter("change_type is not null").select("workspace", "kind", "id", F.col("pair").cast("int").alias("snapshot_no"), "change_type")
