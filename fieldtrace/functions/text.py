@@ -54,8 +54,9 @@ def words(text: Column) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """Lower case with the folds that occur in the corpus' languages."""
-    return F.replace(F.translate(F.lower(text), "ς", "σ"), F.lit("ß"), F.lit("ss"))
+    """Full case folding; ASCII texts, whose folding is lower case, never leave the JVM."""
+    ascii_only = text.rlike(r"^\p{ASCII}*$")
+    return F.when(ascii_only, F.lower(text)).otherwise(casefold(F.when(~ascii_only, text)))
 
 
 def word_list(text: Column) -> Column:

@@ -161,6 +161,52 @@ def _strptime(fmt: str):
     return _lists(one)
 
 
+def may_be_absent(pattern: str, group: int) -> bool:
+    """Whether a match can leave the group out: it lies in an option, a repetition or an alternative."""
+
+    def absent(parsed, optional: bool) -> bool | None:
+        for op, value in parsed:
+            name = str(op)
+            if name == "SUBPATTERN":
+                if value[0] == group:
+                    return optional
+                inner = [(value[3], optional)]
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+                inner = [(value[2], optional or value[0] == 0)]
+            elif name == "BRANCH":
+                inner = [(branch, True) for branch in value[1]]
+            else:
+                continue
+            for part, o in inner:
+                told = absent(part, o)
+                if told is not None:
+                    return told
+        return None
+
+    return group > 0 and bool(absent(re._parser.parse(pattern), False))
+
+
+def _capture_optional(state: Column, pattern: str, group: int) -> Column:
+    """Captures of a group that a match may leave out; such a value becomes JSON's null."""
+    compiled = re.compile(pattern)
+
+    @pandas_udf("array<struct<hit:boolean,text:string>>")
+    def found(lists: pd.Series) -> pd.Series:
+        def one(x):
+            m = None if x is None else compiled.search(x)
+            return {"hit": m is not None, "text": m[group] if m else None}
+
+        return lists.map(lambda xs: None if xs is None else [one(x) for x in xs])
+
+    told = found(F.when(state["e"].isNull(), F.transform(state["v"], as_string)))
+    given = F.transform(state["v"], is_string)
+    codes = F.zip_with(told, given, lambda t, g: F.when(~g, TYPE).when(~t["hit"], PARSE))
+    first = F.get(F.filter(codes, lambda c: c.isNotNull()), F.lit(0))
+    values = F.transform(told, lambda t: F.coalesce(t["text"].cast("variant"), F.parse_json(F.lit("null"))))
+    done = F.struct(F.when(first.isNull(), values).otherwise(state["v"]).alias("v"), first.alias("e"))
+    return F.when(state["e"].isNotNull(), state).otherwise(done)
+
+
 def apply(state: Column, rule: dict, source_url: Column | None = None) -> Column:
     """One transform. ``rule``: {'op': ..., and the parameters of that op}."""
     op = rule["op"]
@@ -182,6 +228,8 @@ def apply(state: Column, rule: dict, source_url: Column | None = None) -> Column
         compiled = re.compile(rule["pattern"])
         group = rule.get("group", 1)
         index = group if isinstance(group, int) else compiled.groupindex[group]
+        if may_be_absent(rule["pattern"], index):
+            return _capture_optional(state, rule["pattern"], index)
         plain = re.sub(r"\(\?P<", "(?<", rule["pattern"])
         capture = F.regexp_extract
         return _each(state, lambda v: (

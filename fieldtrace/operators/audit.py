@@ -34,7 +34,8 @@ def flags(products: DataFrame, nodes: DataFrame) -> DataFrame:
     told = salted_join(told, repeated(rows, "name_key").withColumnRenamed("__n", "name_n"), "name_key", "left")
     scheme = F.try_parse_url("url", F.lit("PROTOCOL"))
     host = F.try_parse_url("url", F.lit("HOST"))
-    label = F.when(F.col("is_leaf").isNull(), "unknown_or_missing_id").when(~F.col("is_leaf"), "id_is_no_leaf").when(F.col("told_path") != F.col("node_path"), "path_mismatch")
+    # fixed values: the seven issue codes
+    label = F.when(F.col("is_leaf").isNull(), "unknown_or_missing_predicted_id").when(~F.col("is_leaf"), "predicted_id_is_not_leaf").when(F.col("told_path") != F.col("node_path"), "predicted_path_mismatch")
     issues = F.array_compact(F.array(
         label,
         F.when(~(_filled("product_name") & (_filled("short_description") | _filled("long_description"))), "missing_name_or_description"),

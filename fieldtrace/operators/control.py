@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldtrace.errors import FieldtraceError
+from fieldtrace.operators.skew import salted_join
 
 
 def first_per_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -25,7 +26,7 @@ def idempotency(requests: DataFrame) -> DataFrame:
     joined back. Requests without a key are always 'stored'.
     """
     first = requests.filter("key is not null").groupBy("key").agg(F.min(F.struct("seq", "request_hash")).alias("f"))
-    told = requests.join(first, "key", "left")
+    told = salted_join(requests, first, "key", "left")
     outcome = F.when(F.col("f").isNull() | (F.col("seq") == F.col("f.seq")), "stored").when(F.col("request_hash").eqNullSafe(F.col("f.request_hash")), "replayed").otherwise("conflict")
     return told.select("key", "seq", outcome.alias("outcome"))
 
@@ -94,7 +95,7 @@ def slots(requests: DataFrame, interval: Column) -> DataFrame:
 def supersession(activations: DataFrame) -> DataFrame:
     """(source, seq, item, state): the last activation of a source is active."""
     last = activations.groupBy("source").agg(F.max("seq").alias("last"))
-    return activations.join(last, "source").select("source", "seq", "item", F.when(F.col("seq") == F.col("last"), "active").otherwise("superseded").alias("state"))
+    return salted_join(activations, last, "source", "inner").select("source", "seq", "item", F.when(F.col("seq") == F.col("last"), "active").otherwise("superseded").alias("state"))
 
 
 def due(schedules: DataFrame, now: Column, limit: int) -> DataFrame:

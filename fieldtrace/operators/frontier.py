@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
+from fieldtrace.errors import FieldtraceError
 from fieldtrace.functions.text import resolve_url
 from fieldtrace.runtime import cut
 
@@ -102,28 +103,48 @@ def discover(found: DataFrame, allowed: list[str], next_only: bool = False) -> D
     return told.withColumn("error", error).select("url", "ord", F.when(F.col("error").isNull(), F.col("target")).alias("target"), "error")
 
 
-def crawl_waves(links: DataFrame, seeds: DataFrame, max_pages: int, max_waves: int = 100) -> DataFrame:
+def numbered(rows: DataFrame, order: list[str], start: int) -> DataFrame:
+    """Adds ``position``: start, start + 1, ... in total order, without one task for all rows.
+
+    A written range sort; each sorted part is numbered by itself and shifted by
+    the counts of the parts before it.
+    """
+    spark = rows.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = cut(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    sizes = ordered.groupBy("__part").agg(F.count("*").alias("__n"))  # one row per part
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return ordered.withColumn("__place", place).join(F.broadcast(before), "__part").withColumn("position", F.col("__place") + F.col("__before") + start).drop("__part", "__place", "__before")
+
+
+def crawl_waves(links: DataFrame, seeds: DataFrame, max_pages: int) -> DataFrame:
     """(url, wave, position): breadth-first order without repeats.
 
     ``links``: (url, ord, target); ``seeds``: (url, ord). Within a wave pages
     keep the order of their first discovery. Each wave is one join of the
     newly found pages with the links; pages seen before are dropped by an
-    anti-join. Stops at ``max_pages`` pages (the crawl's own limit), at
-    ``max_waves``, or when nothing new is found.
+    anti-join. It ends when nothing new is found; more than ``max_pages`` pages
+    are LIMIT_REACHED, never a part of them. Seeds and links that are null lead
+    nowhere; no seeds give no rows.
     """
-    first = seeds.filter("url is not null").groupBy("url").agg(F.min("ord").alias("ord")).orderBy("ord", "url").limit(max_pages)
-    wave = cut(first.withColumn("position", F.row_number().over(Window.orderBy("ord", "url")) - 1).select("url", F.lit(0).alias("wave"), "position"))
-    found, count, number = wave, wave.count(), 0
-    while count < max_pages and number < max_waves:
+    first = cut(seeds.filter("url is not null").groupBy("url").agg(F.min("ord").alias("ord")))
+    count, number = first.count(), 0
+    if count > max_pages:
+        raise FieldtraceError("LIMIT_REACHED", f"more than {max_pages} pages")
+    wave = cut(numbered(first, ["ord", "url"], 0).select("url", F.lit(0).alias("wave"), "position"))
+    found = wave
+    while True:
         number += 1
         told = wave.select(F.col("url"), F.col("position").alias("from")).join(links.filter("target is not null"), "url")
         new = told.groupBy("target").agg(F.min(F.struct("from", "ord")).alias("at")).join(found.select(F.col("url").alias("target")), "target", "left_anti")
-        first = new.orderBy("at.from", "at.ord", "target").limit(max_pages - count)  # at most the crawl's limit is numbered
-        ordered = first.withColumn("position", F.row_number().over(Window.orderBy("at.from", "at.ord", "target")) - 1 + count)
-        wave = cut(ordered.select(F.col("target").alias("url"), F.lit(number).alias("wave"), "position"))
-        more = wave.count()
+        first = cut(new.select("at.from", "at.ord", "target"))
+        more = first.count()
         if not more:
             break
+        if count + more > max_pages:
+            raise FieldtraceError("LIMIT_REACHED", f"more than {max_pages} pages")
+        wave = cut(numbered(first, ["from", "ord", "target"], count).select(F.col("target").alias("url"), F.lit(number).alias("wave"), "position"))
         count += more
         found = cut(found.unionByName(wave))
     return found

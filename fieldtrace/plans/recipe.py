@@ -11,7 +11,7 @@ from fieldtrace.functions.dom import compile_selector
 from fieldtrace.functions.paths import pointer_parts
 
 # What each mode allows, and the parameters of each transform.
-LOCATORS = {"json": {"json_pointer", "json_path"}, "html": {"css_text", "css_attr", "jsonld"}, "browser": {"css_text", "css_attr", "jsonld"}, "pdf": {"labeled_value", "json_pointer", "json_path"}}
+LOCATORS = {"json": {"json_pointer", "json_path"}, "html": {"css_text", "css_attr", "jsonld"}, "browser": {"css_text", "css_attr", "jsonld"}, "pdf": {"labeled_value"}}
 SCOPES = {"json": {"one_per_resource", "items_path"}, "html": {"one_per_resource", "container_selector"}, "browser": {"one_per_resource", "container_selector"}, "pdf": {"one_per_document"}}
 OPS = {
     "strip": set(), "collapse_whitespace": set(), "unicode_nfc": set(), "join": {"separator"}, "parse_decimal": {"decimal_separator", "grouping_separator"}, "parse_date": {"format"},

@@ -24,7 +24,7 @@ _WORDS = r"array_to_string(regexp_extract_all(lower(coalesce(product_name, '')),
 _FLAGS = f"""WITH {_LATEST}, leaf AS (SELECT id FROM latest WHERE id NOT IN (SELECT parent_id FROM latest WHERE parent_id IS NOT NULL)),
 t AS (SELECT *, coalesce(type_id, '') AS label, coalesce(source_url, '') AS url, coalesce(brand, chr(1)) || chr(31) || {_WORDS} AS name_key FROM products),
 f AS (SELECT listing_id, list_sort(list_filter([
- CASE WHEN l.id IS NULL THEN 'unknown_or_missing_id' WHEN f.id IS NULL THEN 'id_is_no_leaf' WHEN coalesce(classification_path, '') <> coalesce(l.path, '') THEN 'path_mismatch' END,
+ CASE WHEN l.id IS NULL THEN 'unknown_or_missing_predicted_id' WHEN f.id IS NULL THEN 'predicted_id_is_not_leaf' WHEN coalesce(classification_path, '') <> coalesce(l.path, '') THEN 'predicted_path_mismatch' END,
  CASE WHEN NOT (coalesce(product_name, '') <> '' AND (coalesce(short_description, '') <> '' OR coalesce(long_description, '') <> '')) THEN 'missing_name_or_description' END,
  CASE WHEN NOT regexp_matches(lower(url), '^https?://[^/?#\\s]+') THEN 'invalid_source_url' END,
  CASE WHEN url <> '' AND count(*) OVER (PARTITION BY url) > 1 THEN 'duplicate_source_url' END,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -68,15 +69,37 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def released(spark: SparkSession):
+    """Removes on leaving all intermediate tables made within: for sessions of many queries.
+
+    Results that are still read must be written or collected inside.
+    """
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            _drop(spark, path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
     A written Parquet table survives the loss of executors, is compressed and
-    lets later readers prune columns. The table is removed when the driver ends.
+    lets later readers prune columns. The table is removed when the driver ends,
+    or at the end of the ``released`` block it was made in.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/fieldtrace/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _SCOPES:
+        made.append(path)
     if path.startswith("file:"):
         atexit.register(shutil.rmtree, path.removeprefix("file://").removeprefix("file:"), True)
     else:

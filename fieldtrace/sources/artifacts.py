@@ -10,6 +10,7 @@ import hashlib
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fieldtrace.errors import FieldtraceError
@@ -71,17 +72,28 @@ def exists(spark: SparkSession, path: str) -> bool:
 def publish(spark: SparkSession, folder: str, expected_version: int, manifest: dict) -> int:
     """Commit version expected+1 of a dataset head: create its file, never overwrite.
 
-    A second writer with the same expectation gets PUBLICATION_CONFLICT.
+    The manifest is written aside and renamed without overwriting, so a head is
+    never seen empty. A second writer with the same expectation gets
+    PUBLICATION_CONFLICT; any other failure is raised as it is.
     """
     if expected_version and not exists(spark, f"{folder}/v{expected_version}.json"):
         raise FieldtraceError("STALE_VERSION", str(expected_version))
-    fs, where = _fs(spark, f"{folder}/v{expected_version + 1}.json")
-    try:
-        out = fs.create(where, False)
-    except Exception as e:  # the file is there already
-        raise FieldtraceError("PUBLICATION_CONFLICT", str(expected_version + 1)) from e
+    target = f"{folder}/v{expected_version + 1}.json"
+    fs, aside = _fs(spark, f"{folder}/.{uuid.uuid4().hex}")
+    out = fs.create(aside, False)
     out.write(json.dumps(manifest, sort_keys=True).encode())
     out.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where = fs.makeQualified(hadoop.Path(target))
+    plain = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    plain[0] = hadoop.Options.Rename.NONE
+    try:
+        hadoop.FileContext.getFileContext(where.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(aside), where, plain)
+    except Py4JJavaError as e:
+        fs.delete(aside, False)
+        if "FileAlreadyExists" in e.java_exception.getClass().getName() or fs.exists(where):
+            raise FieldtraceError("PUBLICATION_CONFLICT", str(expected_version + 1)) from e
+        raise
     return expected_version + 1
 
 

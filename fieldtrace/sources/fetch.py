@@ -1,65 +1,52 @@
-"""A Python data source of captured pages.
-
-Reads a folder of recorded responses (JSON lines: url, status, content_type,
-body) as if they were fetched: one partition per file, redirects followed up
-to a limit, bodies cut off by a byte budget as an error. It stands where a
-network reader would be registered.
-"""
+"""Captured pages: recorded responses read as tables, redirects followed by joins."""
 
 from __future__ import annotations
 
-import glob
-import json
-import os
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from fieldtrace.runtime import cut
 
 MAX_HOPS = 6
-
-
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options):
-        self.folder = options["path"]
-        self.max_bytes = int(options.get("max_bytes", 10_000_000))
-
-    def partitions(self):
-        return [_File(p) for p in sorted(glob.glob(os.path.join(self.folder, "*.jsonl")))]
-
-    def read(self, partition):
-        with open(partition.path, encoding="utf-8") as f:
-            captured = {r["url"]: r for r in map(json.loads, f)}
-        for url, row in captured.items():
-            hops, at, error = 0, row, None
-            while at.get("location"):
-                hops += 1
-                target = at["location"]
-                if hops > MAX_HOPS or target not in captured:
-                    error = "URL_POLICY_DENIED"
-                    break
-                if at["url"].startswith("https:") and target.startswith("http:"):
-                    error = "URL_POLICY_DENIED"  # never down to plain HTTP
-                    break
-                at = captured[target]
-            body = None if error else at.get("body", "").encode()
-            if body is not None and len(body) > self.max_bytes:
-                body, error = None, "LIMIT_REACHED"
-            yield url, at["url"], int(at.get("status", 200)), at.get("content_type"), body, error
-
-
-class CapturedPages(DataSource):
-    """``spark.read.format('captured_pages').load(folder)`` after registration."""
-
-    @classmethod
-    def name(cls):
-        return "captured_pages"
-
-    def schema(self):
-        return "request_url string, url string, status int, content_type string, body binary, error string"
-
-    def reader(self, schema):
-        return _Reader(self.options)
+CAPTURED = "url string, status int, content_type string, location string, body string"
+
+
+def captured_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Recorded responses (JSON lines) of a folder, through Spark's own reader."""
+    return spark.read.schema(CAPTURED).json(path)
+
+
+def follow(captured: DataFrame, max_bytes: int = 10_000_000, max_hops: int = MAX_HOPS) -> DataFrame:
+    """(request_url, url, status, content_type, body, error) of every recorded request.
+
+    ``captured``: (url, status, content_type, location, body). A response with
+    a location leads on to the response of that URL, wherever it was recorded:
+    each hop is one join of the requests still under way. More than
+    ``max_hops`` hops, a target that wasn't recorded and a step from HTTPS down
+    to HTTP are URL_POLICY_DENIED; a body above ``max_bytes`` is LIMIT_REACHED;
+    both have a null body. Of a URL recorded more than once the greatest
+    response counts. Responses without a URL are left out.
+    """
+    known = captured.filter("url is not null")
+    one = cut(known.groupBy("url").agg(F.max(F.struct(F.coalesce("status", F.lit(200)).alias("status"), "content_type", F.nullif("location", F.lit("")).alias("location"), "body")).alias("r")).select("url", "r.*"))
+    way = one.select(F.col("url").alias("request_url"), "url", "location", F.lit(None).cast("string").alias("error"))
+    ended = []
+    for hop in range(max_hops + 1):
+        ended.append(way.filter("location is null or error is not null").select("request_url", "url", "error"))
+        open_ = way.filter("location is not null and error is null")
+        if hop == max_hops:
+            ended.append(open_.select("request_url", "url", F.lit("URL_POLICY_DENIED").alias("error")))
+            break
+        if open_.isEmpty():
+            break
+        target = one.select(F.col("url").alias("to"), F.col("location").alias("next"))
+        step = open_.join(target, F.col("location") == F.col("to"), "left")
+        down = F.lower("url").startswith("https:") & F.lower("location").startswith("http:")
+        error = F.when(F.col("to").isNull() | down, "URL_POLICY_DENIED")
+        way = cut(step.select("request_url", F.coalesce(F.when(error.isNull(), F.col("to")), F.col("url")).alias("url"), F.col("next").alias("location"), error.alias("error")))
+    every = ended[0]
+    for more in ended[1:]:
+        every = every.unionByName(more)
+    told = every.join(one.drop("location"), "url")
+    large = F.octet_length("body") > max_bytes
+    error = F.coalesce("error", F.when(large, "LIMIT_REACHED"))
+    return told.select("request_url", "url", "status", "content_type", F.when(error.isNull(), F.encode("body", "utf-8")).alias("body"), error.alias("error"))

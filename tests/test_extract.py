@@ -163,7 +163,7 @@ CASES = [
     (["\x1c a b  "], {"op": "strip"}, ["a b"], None), (["a \n b"], {"op": "collapse_whitespace"}, ["a b"], None), (["é"], {"op": "unicode_nfc"}, ["é"], None),
     (["a", "b"], {"op": "join", "separator": "-"}, ["a-b"], None), (["a", 1], {"op": "join", "separator": "-"}, None, "TRANSFORM_TYPE"), (["A", "A B", "A"], {"op": "unique"}, ["A B", "A"], None), ([10, 9, "x"], {"op": "sort"}, ["x", 10, 9], None),
     ([True, None, "q"], {"op": "enum_map", "mapping": {"True": "yes", "None": "no"}, "unknown": "keep"}, ["yes", "no", "q"], None), (["q"], {"op": "enum_map", "mapping": {"a": "b"}, "unknown": "null"}, [None], None), (["q"], {"op": "enum_map", "mapping": {"a": "b"}}, None, "TRANSFORM_PARSE"),
-    (["ab12"], {"op": "regex_capture", "pattern": r"(?P<n>\d+)", "group": "n"}, ["12"], None), (["ab"], {"op": "regex_capture", "pattern": r"(\d+)"}, None, "TRANSFORM_PARSE"), ([5], {"op": "strip"}, None, "TRANSFORM_TYPE"),
+    (["ab12"], {"op": "regex_capture", "pattern": r"(?P<n>\d+)", "group": "n"}, ["12"], None), (["ab"], {"op": "regex_capture", "pattern": r"(\d+)"}, None, "TRANSFORM_PARSE"), (["a", "ab"], {"op": "regex_capture", "pattern": "a(b)?"}, [None, "b"], None), (["a", "c"], {"op": "regex_capture", "pattern": "a(b)?|x(y)"}, None, "TRANSFORM_PARSE"), ([5], {"op": "strip"}, None, "TRANSFORM_TYPE"),
     (["2024-1-5"], {"op": "parse_date", "format": "%Y-%m-%d"}, ["2024-01-05T00:00:00+00:00"], None), (["20240105"], {"op": "parse_date", "format": "%Y%m%d"}, ["2024-01-05T00:00:00+00:00"], None), (["x"], {"op": "parse_date", "format": "%d %b %Y"}, None, "TRANSFORM_PARSE"),
     (["../x"], {"op": "resolve_url"}, ["https://e.example/x"], None),
 ]

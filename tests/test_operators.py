@@ -11,7 +11,7 @@ from fieldtrace.operators import audit, classify, control, evaluate as V, fronti
 from fieldtrace.plans import legacy, propose
 from fieldtrace.plans.extract import extract, records
 from fieldtrace.sources import artifacts as S
-from fieldtrace.sources.fetch import CapturedPages
+from fieldtrace.sources.fetch import captured_pages, follow
 
 
 # frontier
@@ -41,7 +41,8 @@ def test_crawl_order_limit_and_loops(spark):
     seeds = spark.createDataFrame([("a", 0), ("a", 1), (None, 2)], "url string, ord int")
     got = [r["url"] for r in frontier.crawl_waves(links, seeds, 100).orderBy("position").collect()]
     assert got == ["a", "c", "b", "e", "d"]
-    assert [r["url"] for r in frontier.crawl_waves(links, seeds, 3).orderBy("position").collect()] == ["a", "c", "b"]
+    with pytest.raises(FieldtraceError, match="LIMIT_REACHED"):  # never a part of the pages
+        frontier.crawl_waves(links, seeds, 3)
     assert frontier.crawl_waves(links, seeds.limit(0), 5).count() == 0
 
 
@@ -116,8 +117,8 @@ def test_audit(spark):
         (4, None, None, None, None, "s", "l", None), (5, "d", "Axe", "2", "1.9", "s", None, "https://a.example/1")], cols)
     got = {r["listing_id"]: list(r["issues"]) for r in audit.flags(df, nodes).collect()}
     assert got == {
-        1: ["duplicate_brand_product_name", "duplicate_source_url"], 2: ["duplicate_brand_product_name", "id_is_no_leaf"], 3: ["invalid_source_url", "missing_name_or_description", "unknown_or_missing_id"],
-        4: ["invalid_source_url", "missing_name_or_description", "unknown_or_missing_id"], 5: ["duplicate_source_url", "path_mismatch"]}
+        1: ["duplicate_brand_product_name", "duplicate_source_url"], 2: ["duplicate_brand_product_name", "predicted_id_is_not_leaf"], 3: ["invalid_source_url", "missing_name_or_description", "unknown_or_missing_predicted_id"],
+        4: ["invalid_source_url", "missing_name_or_description", "unknown_or_missing_predicted_id"], 5: ["duplicate_source_url", "predicted_path_mismatch"]}
     assert audit.flags(df.limit(0), nodes).count() == 0
 
 
@@ -210,13 +211,17 @@ def test_sitemap_and_mime(spark):
     assert [r[0] for r in df.select(S.mime_allowed(F.col("m"), F.col("t"))).collect()] == [True, True, False, False]
 
 
-def test_captured_pages(spark, tmp_path):
-    rows = [{"url": "https://a.example/1", "location": "https://a.example/2"}, {"url": "https://a.example/2", "body": "hi", "content_type": "text/html"}, {"url": "https://a.example/3", "location": "http://a.example/4"}, {"url": "http://a.example/4", "body": "x"}, {"url": "https://a.example/5", "location": "https://a.example/5"}, {"url": "https://a.example/6", "body": "y" * 50}]
-    with open(os.path.join(tmp_path, "a.jsonl"), "w") as f:
-        f.writelines(json.dumps(r) + "\n" for r in rows)
-    spark.dataSource.register(CapturedPages)
-    got = {r["request_url"]: (r["url"], r["error"]) for r in spark.read.format("captured_pages").option("max_bytes", 20).load(str(tmp_path)).collect()}
-    assert got["https://a.example/1"] == ("https://a.example/2", None) and got["https://a.example/3"][1] == "URL_POLICY_DENIED" and got["https://a.example/5"][1] == "URL_POLICY_DENIED" and got["https://a.example/6"][1] == "LIMIT_REACHED"
+def test_redirects_across_files(spark, tmp_path):
+    files = {
+        "a": [{"url": "https://a.example/1", "location": "https://a.example/2"}, {"url": "https://a.example/3", "location": "http://a.example/4"}, {"url": "https://a.example/5", "location": "https://a.example/5"}, {"url": "https://a.example/6", "body": "y" * 50}, {"url": "https://a.example/8", "location": "https://gone.example/"}],
+        "b": [{"url": "https://a.example/2", "location": "https://a.example/7"}, {"url": "http://a.example/4", "body": "x"}], "c": [{"url": "https://a.example/7", "body": "hi", "content_type": "text/html", "status": 200}, {"body": "no url"}]}
+    for name, rows in files.items():
+        with open(os.path.join(tmp_path, f"{name}.jsonl"), "w") as f:
+            f.writelines(json.dumps(r) + "\n" for r in rows)
+    got = {r["request_url"]: (r["url"], r["error"], r["body"] and bytes(r["body"])) for r in follow(captured_pages(spark, str(tmp_path)), max_bytes=20).collect()}
+    assert len(got) == 8 and got["https://a.example/1"] == ("https://a.example/7", None, b"hi") == got["https://a.example/2"]
+    assert [got[f"https://a.example/{k}"][1:] for k in (3, 5, 6, 8)] == [("URL_POLICY_DENIED", None), ("URL_POLICY_DENIED", None), ("LIMIT_REACHED", None), ("URL_POLICY_DENIED", None)]
+    assert follow(captured_pages(spark, str(tmp_path)).limit(0)).count() == 0
 
 
 def test_whole_prompt(spark, tmp_path):
