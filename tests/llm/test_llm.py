@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 pytest.importorskip("fieldtrace.llm")
-from fieldtrace.llm import copies, encode, items, mapping, packing, spam  # noqa: E402
+from fieldtrace.llm import copies, encode, items, mapping, packing  # noqa: E402
 
 PATH = encode.vocabulary_path()
 
@@ -189,30 +189,4 @@ def test_stars_of_a_long_chain(spark):
     pairs = spark.createDataFrame([(k, k + 1) for k in range(n - 1)], "a long, b long").coalesce(1)
     assert {r["set"]: r["centre"] for r in items.star_clusters(sets, pairs).collect()} == {k: k - k % 2 for k in range(n)}
 
-
-# problem 9
-SPAM = ["cheap valve\nvalve shop\nvalve near me\nbuy valve\nvalve sale Elmsgate\nvalve discount", "#Valve #Pump #Seal #Tape #Glue #Valve", "https://a.example/x/y\nwww.b.example/z\nhttps://c.example/q?a=1\nb.example/t/u",
-        "No pipe collar beats our pipe collar; compare pipe collar with pipe collar in Elmsgate. Our pipe collar is the best pipe collar for pipe collar buyers who want pipe collar."]
-CONTENT = ["The sheet lists 5.9 litres as yield, whereas the label on the bucket says a little less. Nothing in the notes speaks against using it on raw concrete.", "Width | 100 mm\nWeight | 5 kg\nColour | red", "21 x Yorlamoss 6984, Verge clip, 10 kg, 616.97 EUR\n3 x Jus 12, Valve, 1 kg, 9.90 EUR",
-           "2025-09-08 10:56:49 INFO worker-1 claimed job 9dfd at generation 2\n2025-09-08 10:56:50 WARN job 9dfd failed", "使用前请确认基面干燥、清洁。本产品每平方米用量约为4.4公斤。", "The valve is applied in two coats and must dry for a day before the next one.\nTags: valve, pump, seal"]
-
-
-def test_features_tell_both_sides():
-    assert all(spam.features(t)[1] > 0.7 for t in SPAM)
-    assert all(spam.features(t)[1] < 0.3 for t in CONTENT)
-    assert spam.features(None)[0] == spam.features("")[0] == spam.features(" \n\t")[0] == 0
-    assert spam.features("x" * 200_000)[0] == 1
-
-
-def test_spam_pages(spark):
-    rows = [(k, (SPAM if k % 4 == 0 else CONTENT)[k % len(SPAM if k % 4 == 0 else CONTENT)] + f"\nword{k}", f"https://h{k % 3}.example/{k}" if k % 7 else None, "clash") for k in range(240)]
-    rows += [(900, None, None, "c"), (901, "", "not a url", "c"), (None, SPAM[0], None, "c"), (902, SPAM[0], "https://h1.example/", "c"), (902, SPAM[0], "https://h1.example/", "c")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, url string, score string")
-    got = {r["doc_id"] for r in spam.spam_pages(df).collect()}
-    want = {k for k in range(240) if k % 4 == 0} | {902}
-    assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 3 and not got & {900, 901, None}
-    assert spam.spam_pages(df.limit(0)).count() == 0
-    assert {r["doc_id"] for r in spam.spam_pages(df.filter("doc_id % 4 <> 0")).collect()} == {902}
-    assert spam.spam_pages(df.filter("doc_id % 4 <> 0 and doc_id <> 902")).count() == 0
-
-
+# problem 9: test_spam.py
