@@ -1,11 +1,12 @@
 """Freely typed values mapped to a list of agreed names, in SQL expressions only.
 
-A typed value is reduced to the letters of its last path segment, without
-codes and filler words. What doesn't equal a name, an alias or a known way of
+A typed value is read as it stands; where that means nothing exactly, it is
+also reduced to the letters of its last path segment, without codes and filler
+words. What doesn't equal a name, an alias or a known way of
 writing one (word order, abbreviated words) goes through a pigeonhole join:
 a reference string is cut into k+1 segments; within k edits at least one
 segment survives unchanged and at most k places away, so an equality join on
-positional substrings finds every candidate. The built-in levenshtein verifies
+substrings and their places finds every candidate. The built-in levenshtein verifies
 them; an anti-join reports what is left.
 """
 
@@ -20,9 +21,11 @@ from fieldtrace.runtime import cut
 
 #: Words that sellers put before or after a name.
 FILLERS = ["all", "various", "etc", "new", "sale", "sales", "misc", "home", "shop", "catalogue", "departments"]
-#: Longest reference key that allows so many edits. Two slips are meant to be
-#: found, and swapping two letters counts as two edits; short keys allow less.
-EDITS = [(6, 1), (9, 3), (10_000, 4)]
+#: Longest reference key that is sought within so many edits. Two slips are
+#: meant to be found in long keys, and swapping two letters counts as two edits.
+EDITS = [(9, 2), (10_000, 4)]
+#: Keys up to this length allow one slip: one edit, or two that swap letters.
+ONE_SLIP = 9
 _PATH_SEPARATORS = r"[>/|»]"
 _CODES = r"\[[^\]]*\]|[0-9]+\s*[-.:]\s*[0-9]+\s*:?|[0-9]+"
 
@@ -57,6 +60,17 @@ def typed_words(text: Column) -> Column:
     return F.transform(kept, lambda w: F.when((F.length(w) > 8) & w.startswith("various"), F.substring(w, 8, 1000)).otherwise(w))
 
 
+def full_words(text: Column) -> Column:
+    """All words of a typed value as it stands, with digits."""
+    return F.regexp_extract_all(_plain(text), F.lit(r"([\p{L}\p{N}][\p{L}\p{M}\p{N}]*\.?)"), 1)
+
+
+def few_slips(typed: Column, ref: Column, d: Column) -> Column:
+    """Whether ``d`` edits are few enough: in a short key one, or two that only swap letters."""
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    return (F.length(ref) > ONE_SLIP) | (d <= 1) | ((d == 2) & (letters(typed) == letters(ref)))
+
+
 def reference_keys(canonical: DataFrame) -> DataFrame:
     """(level, key, canon_id, whole) of every way to write a reference entry.
 
@@ -67,7 +81,7 @@ def reference_keys(canonical: DataFrame) -> DataFrame:
     means several entries of one level is dropped.
     """
     texts = canonical.select("level", F.col("canon_id").cast("int").alias("canon_id"), F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("text"))
-    found = F.regexp_extract_all(_plain(F.col("text")), F.lit(r"(\p{L}[\p{L}\p{M}]*)"), 1)
+    found = F.regexp_extract_all(_plain(F.col("text")), F.lit(r"([\p{L}\p{N}][\p{L}\p{M}\p{N}]*)"), 1)
     base = texts.filter("text is not null").withColumn("w", found).withColumn("n", F.size("w")).filter("n > 0")
     turned = base.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     turn = lambda a: F.concat(F.slice(a, F.col("r") + 1, F.col("n")), F.slice(a, F.lit(1), F.col("r")))
@@ -111,7 +125,8 @@ def closest(typed: DataFrame, keys: DataFrame) -> DataFrame:
     whole ones. The closest reference wins; keys equally close to several entries of the
     level are left unmatched.
     """
-    segments = cut(_segments(keys))
+    shifts = F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("k")), F.col("at") + F.col("k")))
+    segments = cut(_segments(keys).withColumn("q_at", shifts))  # each segment at all places it may have moved to
     lens = sorted(r[0] for r in segments.select(F.length("segment")).distinct().collect())  # at most the longest name's length
     if not lens:
         return typed.select("level", "key", F.lit(0).alias("canon_id"), F.lit(0).alias("d")).limit(0)
@@ -119,21 +134,21 @@ def closest(typed: DataFrame, keys: DataFrame) -> DataFrame:
     piece = lambda n: lambda p: F.struct((p - 1).alias("at"), F.col("key").substr(p, F.lit(n)).alias("segment"))
     subs = F.flatten(F.array(*[F.transform(places(n), piece(n)) for n in lens]))
     pieces = typed.select("level", "key", F.explode(subs).alias("s")).select("level", "key", F.col("key").contains(".").alias("dotted"), F.col("s.at").alias("q_at"), F.col("s.segment").alias("segment"))
-    near = pieces.join(segments, ["level", "dotted", "segment"]).filter(
-        (F.abs(F.col("at") - F.col("q_at")) <= F.col("k")) & (F.abs(F.length("key") - F.col("n")) <= F.col("k")))
+    near = pieces.join(segments, ["level", "dotted", "segment", "q_at"]).filter(F.abs(F.length("key") - F.col("n")) <= F.col("k"))
     pairs = near.select("level", "key", "ref", "canon_id", "k").distinct()
-    verified = pairs.withColumn("d", F.levenshtein("key", "ref")).filter("d <= k")
+    verified = pairs.withColumn("d", F.levenshtein("key", "ref")).filter((F.col("d") <= F.col("k")) & few_slips(F.col("key"), F.col("ref"), F.col("d")))
     best = verified.groupBy("level", "key", "canon_id").agg(F.min("d").alias("d"))
     told = best.groupBy("level", "key").agg(F.min(F.struct("d", "canon_id")).alias("b"), F.collect_list("d").alias("all"))
     return told.filter(F.size(F.filter("all", lambda d: d == F.col("b.d"))) == 1).select("level", "key", F.col("b.canon_id").alias("canon_id"), F.col("b.d").alias("d"))
 
 
 def map_values(values: DataFrame, canonical: DataFrame) -> DataFrame:
-    """(level, value, canon_id, matched_by) of every distinct typed value.
+    """(level, value, canon_id, matched_by, distance) of every distinct typed value.
 
     ``values``: (level, value), ``canonical``: (canon_id, name, level,
     aliases). Null and blank values and exact names of their level are left
-    out. A value that means no entry has canon_id 0; those come from an
+    out. What a value means as it stands goes before what is left of it without
+    codes and fillers; ``distance`` counts edits. A value that means no entry has canon_id 0; those come from an
     anti-join. Values of a level without entries are all unmatched; empty
     tables give no rows.
     """
@@ -142,15 +157,18 @@ def map_values(values: DataFrame, canonical: DataFrame) -> DataFrame:
     distinct = values.filter(F.col("value").isNotNull() & ~blank).distinct().join(names, ["level", "value"], "left_anti")
     joined = F.array_join(typed_words(F.col("value")), "")
     # 'u.' may stand for 'and' or end an abbreviation: both are tried
-    typed = cut(distinct.withColumn("key", F.explode(F.array_distinct(F.array(joined, F.regexp_replace(joined, r"u\.", "and"))))))
+    full = F.array_join(full_words(F.col("value")), "")
+    ways = F.array(*[F.struct(F.lit(n).alias("way"), k.alias("key")) for n, k in enumerate((full, joined, F.regexp_replace(joined, r"u\.", "and")))])
+    typed = cut(distinct.withColumn("w", F.explode(ways)).select("level", "value", "w.way", "w.key").filter("key != ''"))
     keys = cut(reference_keys(canonical))
-    wanted = typed.select("level", "key").filter("key != ''").distinct()
-    exact = cut(wanted.join(keys.select("level", "key", "canon_id"), ["level", "key"]).withColumn("d", F.lit(0)))
-    near = closest(wanted.join(exact, ["level", "key"], "left_anti"), keys)
-    mapped = exact.unionByName(near)
-    hits = typed.join(mapped, ["level", "key"]).groupBy("level", "value").agg(F.min(F.struct("d", "canon_id")).alias("b"))
-    hit = cut(hits.select("level", "value", "b.canon_id", F.when(F.col("b.d") == 0, "key").otherwise("edits").alias("matched_by")))
-    missed = distinct.join(hit, ["level", "value"], "left_anti").select("level", "value", F.lit(0).alias("canon_id"), F.lit("none").alias("matched_by"))
+    exact = typed.join(keys.select("level", "key", "canon_id"), ["level", "key"]).withColumn("d", F.lit(0))
+    first = lambda df: df.groupBy("level", "value").agg(F.min(F.struct("d", "way", "canon_id")).alias("b")).select("level", "value", "b.canon_id", "b.d")
+    known = cut(first(exact))
+    rest = cut(typed.join(known, ["level", "value"], "left_anti"))
+    near = closest(rest.select("level", "key").distinct(), keys)
+    hit = cut(known.unionByName(first(rest.join(near, ["level", "key"]))))
+    hit = hit.select("level", "value", "canon_id", F.when(F.col("d") == 0, "key").otherwise("edits").alias("matched_by"), F.col("d").alias("distance"))
+    missed = distinct.join(hit, ["level", "value"], "left_anti").select("level", "value", F.lit(0).alias("canon_id"), F.lit("none").alias("matched_by"), F.lit(None).cast("int").alias("distance"))
     return hit.unionByName(missed)
 
 
