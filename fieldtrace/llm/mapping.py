@@ -43,18 +43,20 @@ def _plain(text: Column) -> Column:
     return t
 
 
-def typed_words(text: Column) -> Column:
+def typed_words(text: Column, kept_fillers: list[str] | None = None) -> Column:
     """Words of the last path segment of a typed value, codes and fillers dropped.
 
-    A word keeps a final dot, the mark of an abbreviation.
+    A word keeps a final dot, the mark of an abbreviation. ``kept_fillers`` are
+    not dropped.
     """
+    fillers = [f for f in FILLERS if f not in (kept_fillers or [])]
     t = F.regexp_replace(_plain(text), _CODES, " ")
     segments = F.filter(F.split(t, _PATH_SEPARATORS), lambda s: s.rlike(r"\p{L}"))
     last = F.coalesce(F.try_element_at(segments, F.lit(-1)), F.lit(""))
     last = F.regexp_replace(last, r"etc\.?[^\p{L}]*$", " ")  # also where it is glued to the name
     found = F.regexp_extract_all(last, F.lit(r"(\p{L}[\p{L}\p{M}]*\.?)"), 1)
     bare = lambda w: F.regexp_replace(w, r"\.$", "")
-    filler = lambda w: bare(w).isin(FILLERS) | ((F.length(bare(w)) >= 6) & (F.levenshtein(bare(w), F.lit("various")) <= 2))
+    filler = lambda w: bare(w).isin(fillers) | ((F.length(bare(w)) >= 6) & (F.levenshtein(bare(w), F.lit("various")) <= 2))
     kept = F.filter(found, lambda w: ~filler(w))
     # a filler may be glued to the name
     return F.transform(kept, lambda w: F.when((F.length(w) > 8) & w.startswith("various"), F.substring(w, 8, 1000)).otherwise(w))
@@ -158,7 +160,10 @@ def map_values(values: DataFrame, canonical: DataFrame) -> DataFrame:
     joined = F.array_join(typed_words(F.col("value")), "")
     # 'u.' may stand for 'and' or end an abbreviation: both are tried
     full = F.array_join(full_words(F.col("value")), "")
-    ways = F.array(*[F.struct(F.lit(n).alias("way"), k.alias("key")) for n, k in enumerate((full, joined, F.regexp_replace(joined, r"u\.", "and")))])
+    named = canonical.select(F.explode(full_words(F.concat_ws(" ", "name", F.array_join("aliases", " ")))).alias("w")).filter(F.col("w").isin(FILLERS)).distinct()
+    own = sorted(r["w"] for r in named.collect())  # fillers that are words of a name: at most all fillers
+    keys_told = [full, joined, F.regexp_replace(joined, r"u\.", "and")] + ([F.array_join(typed_words(F.col("value"), own), "")] if own else [])
+    ways = F.array(*[F.struct(F.lit(n).alias("way"), k.alias("key")) for n, k in enumerate(keys_told)])
     typed = cut(distinct.withColumn("w", F.explode(ways)).select("level", "value", "w.way", "w.key").filter("key != ''"))
     keys = cut(reference_keys(canonical))
     exact = typed.join(keys.select("level", "key", "canon_id"), ["level", "key"]).withColumn("d", F.lit(0))

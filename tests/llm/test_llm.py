@@ -144,6 +144,16 @@ def test_mapping(spark):
     assert ("Wedding gifts", 1) in missed and ("PPE", 1) not in missed
 
 
+def test_values_mean_what_they_say(spark):
+    names = ["Home", "Class 1 anchors", "Class 2 anchors", "Roofing", "Plumbing", "Trestle"]
+    canon = spark.createDataFrame([(k + 1, n, "category", None, None, "x") for k, n in enumerate(names)], CANON)
+    typed = {"HOME": 1, "home, new": 1, "CLASS 1 ANCHORS": 2, "class 2 anchors": 3, "clas 2 anchors": 3, "Roving": 0, "Rolling": 0, "Footing": 0, "Climbing": 0, "Roofnig": 4, "Roofin": 4, "Trestel": 6, "Tretsel": 0}
+    df = spark.createDataFrame([("category", t) for t in typed], "level string, value string")
+    got = {r["value"]: (r["canon_id"], r["distance"]) for r in mapping.map_values(df, canon).collect()}
+    assert {t: c for t, (c, _) in got.items()} == typed
+    assert got["HOME"][1] == 0 and got["Roofnig"][1] == 2 and got["Roving"][1] is None
+
+
 def test_pigeonhole_finds_all_within_k(spark):
     rnd = random.Random(5)
     names = ["channelgrating", "rollingtower", "trestle", "decking", "vapourcontrolsheet"]
@@ -164,10 +174,13 @@ def test_pigeonhole_finds_all_within_k(spark):
                 prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
         return row[-1]
 
-    k = lambda n: next(e for top, e in mapping.EDITS if n <= top)
+    def near_enough(t, n):  # one slip in a short name, two in a long one; a swap is two edits
+        d = lev(t, n)
+        return d <= 4 if len(n) > mapping.ONE_SLIP else d <= 1 or (d == 2 and sorted(t) == sorted(n))
+
     want = {}
     for t in typed:
-        near = sorted((lev(t, n), i) for i, n in enumerate(names) if lev(t, n) <= k(len(n)))
+        near = sorted((lev(t, n), i) for i, n in enumerate(names) if near_enough(t, n))
         if near and (len(near) == 1 or near[0][0] < near[1][0]):
             want[t] = near[0][1]
     keys = spark.createDataFrame([("c", n, i, True) for i, n in enumerate(names)], "level string, key string, canon_id int, whole boolean")
