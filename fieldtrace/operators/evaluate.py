@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fieldtrace.runtime import cut
+
 TEMPERATURES = [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0, 8.0]
 Z95 = 1.959963984540054
 CLAMP = 1e-12
@@ -107,3 +109,21 @@ def shared_prefix(a: Column, b: Column) -> Column:
     """Length of the common beginning of two arrays."""
     same = F.zip_with(a, b, lambda x, y: F.coalesce((x == y).cast("int"), F.lit(0)))
     return F.aggregate(same, F.struct(F.lit(0).alias("n"), F.lit(1).alias("go")), lambda s, x: F.struct((s["n"] + s["go"] * x).alias("n"), (s["go"] * x).alias("go")))["n"]
+
+
+def nearest_ranks(rows: DataFrame, column: str, ranks: dict[str, float]) -> DataFrame:
+    """One row of nearest-rank percentiles: the value number ceil(n * q) in order.
+
+    Exact without gathering: distinct values are counted, range-sorted over
+    tasks, and only their parts' counts are summed in one place.
+    """
+    spark = rows.sparkSession
+    values = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = cut(values.repartitionByRange(parts, column).withColumn("__part", F.spark_partition_id()))
+    sizes = ordered.groupBy("__part").agg(F.sum("__n").alias("__all"))  # one row per part
+    before = sizes.select("__part", F.coalesce(F.sum("__all").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__all").over(Window.partitionBy()).alias("__total"))
+    upto = F.sum("__n").over(Window.partitionBy("__part").orderBy(column)) + F.col("__before")
+    placed = ordered.join(F.broadcast(before), "__part").withColumn("__upto", upto)
+    at = lambda q: F.min(F.when(F.col("__upto") >= F.ceil(F.col("__total") * F.lit(q)), F.col(column)))
+    return placed.agg(*[at(q).alias(name) for name, q in ranks.items()])

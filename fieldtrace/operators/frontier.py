@@ -103,13 +103,19 @@ def discover(found: DataFrame, allowed: list[str], next_only: bool = False) -> D
     return told.withColumn("error", error).select("url", "ord", F.when(F.col("error").isNull(), F.col("target")).alias("target"), "error")
 
 
+#: Rows that one task may number.
+ONE_TASK_ROWS = 100_000
+
+
 def numbered(rows: DataFrame, order: list[str], start: int) -> DataFrame:
     """Adds ``position``: start, start + 1, ... in total order, without one task for all rows.
 
-    A written range sort; each sorted part is numbered by itself and shifted by
+    Up to ``ONE_TASK_ROWS`` rows one task does it. Beyond, a written range sort; each sorted part is numbered by itself and shifted by
     the counts of the parts before it.
     """
     spark = rows.sparkSession
+    if rows.count() <= ONE_TASK_ROWS:
+        return rows.withColumn("position", F.row_number().over(Window.orderBy(*order)) - 1 + start)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = cut(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
     sizes = ordered.groupBy("__part").agg(F.count("*").alias("__n"))  # one row per part

@@ -144,7 +144,10 @@ def type_guard(spark: SparkSession, d: str) -> DataFrame:
     return X.run(df, F.col("v"), [{"op": "strip"}], "s").groupBy(F.coalesce("s.e", F.lit("ok")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH r AS (SELECT row_number() OVER () AS n, lower(trim(kind)) AS kind, data, json_valid(data) AS ok FROM resource_snapshots WHERE data IS NOT NULL),
+w AS (SELECT n, count(*) AS nodes FROM r, json_tree(CASE WHEN ok THEN data END) j WHERE ok GROUP BY n),
+deep AS (SELECT n, CAST(max(coalesce(len(regexp_extract_all(j.fullkey, '\\[[0-9]+\\]|\\."(?:[^"\\\\]|\\\\.)*"|\\.[^.\\["]+')), 0)) AS INT) AS depth FROM r, json_tree(CASE WHEN ok THEN data END) j WHERE ok GROUP BY n)
+SELECT kind, max(depth) AS deepest, CAST(max(nodes) AS INT) AS most_nodes, count(*) AS documents FROM r LEFT JOIN w USING (n) LEFT JOIN deep USING (n) GROUP BY kind""")
 def tree_budget(spark: SparkSession, d: str) -> DataFrame:
     """Depth and nodes of every resource document, grouped."""
     size = canon.json_tree_size(F.col("data"))

@@ -83,6 +83,20 @@ found AS (
     strftime(moment, '%Y-%m') AS period
   FROM raw_refs r LEFT JOIN latest l ON r.ref_id = l.id WHERE r.ref_id IS NOT NULL)"""
 
+_P6 = r"""WITH done AS (SELECT *, lag(snapshot_no) OVER w AS earlier, lead(snapshot_no) OVER w AS later FROM (SELECT DISTINCT workspace, snapshot_no FROM snapshot_log WHERE lower(trim(status)) = 'complete') WINDOW w AS (PARTITION BY workspace ORDER BY snapshot_no)),
+r AS (SELECT row_number() OVER () AS n, s.workspace, s.snapshot_no, earlier, later, lower(regexp_replace(kind, '^\s+|\s+$', '', 'g')) AS kind, id, data, version, loaded_at FROM resource_snapshots s JOIN done USING (workspace, snapshot_no) WHERE kind IS NOT NULL AND id IS NOT NULL),
+one AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY workspace, snapshot_no, kind, id ORDER BY version DESC NULLS LAST, loaded_at DESC NULLS LAST, data) = 1),
+ok AS (SELECT *, data IS NOT NULL AND json_valid(data) AS valid FROM one),
+t AS (SELECT n, CASE WHEN j.type IN ('OBJECT', 'ARRAY') THEN j.fullkey || chr(1) || j.type WHEN j.type IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'DOUBLE') THEN j.fullkey || chr(1) || CAST(CAST(j.atom AS VARCHAR)::DOUBLE + 0.0 AS VARCHAR) ELSE j.fullkey || chr(1) || j.type || coalesce(json_extract_string(j.value, '$'), '') END AS leaf FROM ok, json_tree(CASE WHEN valid THEN data END) j WHERE valid),
+canon AS (SELECT n, string_agg(leaf, chr(2) ORDER BY leaf) AS text FROM t GROUP BY n),
+v AS (SELECT ok.*, CASE WHEN data IS NULL THEN 'absent' WHEN valid THEN 'j' || coalesce(text, '') ELSE 't' || data END AS body FROM ok LEFT JOIN canon USING (n)),
+pairs AS (SELECT workspace, snapshot_no, earlier FROM done WHERE earlier IS NOT NULL),
+a AS (SELECT p.workspace, p.snapshot_no AS pair, v.kind, v.id, v.body FROM pairs p JOIN v ON v.workspace = p.workspace AND v.snapshot_no = p.snapshot_no),
+b AS (SELECT p.workspace, p.snapshot_no AS pair, v.kind, v.id, v.body FROM pairs p JOIN v ON v.workspace = p.workspace AND v.snapshot_no = p.earlier),
+f AS (SELECT coalesce(a.workspace, b.workspace) AS workspace, coalesce(a.kind, b.kind) AS kind, coalesce(a.id, b.id) AS id, CAST(coalesce(a.pair, b.pair) AS INT) AS snapshot_no,
+ CASE WHEN b.body IS NULL THEN 'added' WHEN a.body IS NULL THEN 'removed' WHEN a.body <> b.body THEN 'changed' END AS change_type
+ FROM a FULL JOIN b ON a.workspace = b.workspace AND a.pair = b.pair AND a.kind = b.kind AND a.id = b.id)"""
+
 SQL = {
     "p1_found": _P1 + " SELECT * FROM solved",
     "p1_descendants": _P1 + """
@@ -90,4 +104,6 @@ SELECT CAST(parts[k] AS BIGINT) AS ancestor_id, id AS descendant_id, CAST(depth
 FROM (SELECT id, depth, string_split(full_path, '.') AS parts, unnest(range(1, depth)) AS k FROM solved WHERE depth > 1)""",
     "p5_found": _REFS + " SELECT * FROM found WHERE reason IS NOT NULL",
     "p5_counts": _REFS + " SELECT table_name, field_name, reason, period, count(*) AS orphans, count(DISTINCT ref_id) AS ref_ids FROM found WHERE reason IS NOT NULL GROUP BY ALL",
+    "p6_found": _P6 + " SELECT workspace, kind, id, snapshot_no, change_type FROM f WHERE change_type IS NOT NULL",
+    "p6_counts": _P6 + " SELECT workspace, snapshot_no, change_type, count(*) AS records FROM f WHERE change_type IS NOT NULL GROUP BY ALL",
 }

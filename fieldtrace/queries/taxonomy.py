@@ -49,7 +49,7 @@ def taxonomy_path_names(spark: SparkSession, d: str) -> DataFrame:
     return T.path_names(nodes, H.hierarchy(nodes, locality="scheme_id"))
 
 
-_TOK = r"unnest(regexp_extract_all(replace(replace(lower({}), 'ς', 'σ'), 'ß', 'ss'), '[\p{{L}}\p{{N}}_]+'))"
+_TOK = r"unnest(regexp_extract_all(replace(replace(replace(replace(replace(lower({}), 'ς', 'σ'), 'ß', 'ss'), 'µ', 'μ'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '[\p{{L}}\p{{N}}_]+'))"
 
 
 @query(f"""WITH t AS (SELECT doc_id, {_TOK.format('text')} AS token FROM documents), n AS (SELECT count(*) AS n FROM documents)
@@ -88,7 +88,7 @@ def tfidf_best(spark: SparkSession, d: str) -> DataFrame:
     return T.rank(table(spark, d, "products"), "listing_id", "product_name", _leaf_texts(spark, d), 1)
 
 
-@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(replace(replace(lower(text), 'ς', 'σ'), 'ß', 'ss'), '[\p{L}\p{N}_]+') AS t FROM documents WHERE text IS NOT NULL),
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(replace(replace(replace(replace(replace(lower(text), 'ς', 'σ'), 'ß', 'ss'), 'µ', 'μ'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '[\p{L}\p{N}_]+') AS t FROM documents WHERE text IS NOT NULL),
 g AS (SELECT doc_id, unnest(t) AS gram FROM w UNION ALL SELECT doc_id, unnest([t[i] || ' ' || t[i + 1] for i in range(1, len(t))]) FROM w UNION ALL SELECT doc_id, unnest([t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] for i in range(1, len(t) - 1)]) FROM w)
 SELECT gram, count(*) AS tf, count(DISTINCT doc_id) AS df FROM g GROUP BY gram ORDER BY tf DESC, gram LIMIT 500""")
 def ngram_topk(spark: SparkSession, d: str) -> DataFrame:

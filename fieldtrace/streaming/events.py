@@ -53,13 +53,22 @@ class _Jobs(StatefulProcessor):
         pass
 
 
+def state_session(spark: SparkSession) -> SparkSession:
+    """A session of its own with the state store that keyed state with timers needs; the given one stays as it is."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        own.conf.set(name, spark.conf.get(name))
+    return own
+
+
 def job_states(events: DataFrame) -> DataFrame:
     """The state of every user after each batch that touched it."""
     return events.groupBy("user_id").transformWithStateInPandas(_Jobs(), "user_id long, events long, last_type string, most double", "Update", "None")
 
 
-def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a bounded stream to its end into a folder and reads it."""
+def run_to_table(stream: DataFrame, mode: str = "append", reader: SparkSession | None = None) -> DataFrame:
+    """Runs a bounded stream to its end into a folder and reads it (in the session ``reader``, if given)."""
     spark = stream.sparkSession
     out, state = scratch(spark), scratch(spark)
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
@@ -70,4 +79,4 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
             batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
         query.foreachBatch(write).start().awaitTermination()
-    return spark.read.parquet(out)
+    return (reader or spark).read.parquet(out)
