@@ -175,8 +175,9 @@ def parse_strict(text: Column) -> Column:
     """Strict JSON as a variant, null where invalid.
 
     The built-in parser refuses repeated keys and NaN, but not what follows a
-    value: wrapped once in an array and once in an object, any such rest breaks
-    one of the two. Only texts with huge exponents or many brackets are looked
+    value: wrapped in an array, a rest can only hide behind a closing bracket, so
+    texts that hold one are wrapped in an object as well; any rest breaks one of
+    the two. Only texts with huge exponents or many brackets are looked
     at again in Python.
     """
     doubtful = text.rlike(r"[0-9][eE][+]?[0-9]{3}") | (F.length(F.regexp_replace(text, r"[^\[{]", "")) > canon.MAX_DEPTH)
@@ -184,7 +185,8 @@ def parse_strict(text: Column) -> Column:
     whole = F.when(doubtful, checked).otherwise(text)
     listed = F.try_parse_json(F.concat(F.lit("["), whole, F.lit("]")))
     held = F.try_parse_json(F.concat(F.lit('{"v":'), whole, F.lit("}")))
-    one = held.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    held = F.when(F.contains(whole, F.lit("]")), held.isNotNull()).otherwise(listed.isNotNull())
+    one = held & F.try_variant_get(listed, "$[1]", "variant").isNull()
     return F.when(one, F.try_variant_get(listed, "$[0]", "variant"))
 
 

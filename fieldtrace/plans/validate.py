@@ -14,6 +14,10 @@ KEYWORDS = {
     "minItems", "maxItems", "uniqueItems", "minProperties", "maxProperties", "title", "description", "default", "examples", "format", "$schema", "$id", "$comment",
 }
 
+#: Keywords that hold lists of schemas, and single ones.
+_LISTS, _SINGLE = ("allOf", "anyOf", "oneOf", "prefixItems"), ("not", "if", "then", "else", "contains", "propertyNames")
+KEYWORDS |= {*_LISTS, *_SINGLE, "minContains", "maxContains", "dependentRequired"}
+
 
 def check_schema(schema, depth: int = 0) -> None:
     """Refuses unknown keywords, deep nesting and a root that isn't an object."""
@@ -25,15 +29,40 @@ def check_schema(schema, depth: int = 0) -> None:
         raise FieldtraceError("CAPABILITY_UNSUPPORTED", str(sorted(schema.keys() - KEYWORDS)))
     for s in schema.get("properties", {}).values():
         check_schema(s, depth + 1)
-    for k in ("items", "additionalProperties"):
+    for k in ("items", "additionalProperties", *_SINGLE):
         if k in schema:
             check_schema(schema[k], depth + 1)
+    for k in _LISTS:
+        if k in schema:
+            if not isinstance(schema[k], list) or not schema[k]:
+                raise FieldtraceError("VALIDATION_FAILED", k)
+            for s in schema[k]:
+                check_schema(s, depth + 1)
 
 
 def _same(a, b) -> bool:
     return type(a) is not bool and type(b) is not bool and isinstance(a, (int, float)) and isinstance(b, (int, float)) and a == b or canon.canonical(a) == canon.canonical(b)
 
 
+def _fits(value, schema) -> bool:
+    return next(failures(value, schema), None) is None
+
+
+def _combined(value, schema, path: str):
+    """Pointers from the keywords that combine schemas."""
+    here = path or "/"
+    for s in schema.get("allOf", []):
+        yield from failures(value, s, path)
+    if "anyOf" in schema and not any(_fits(value, s) for s in schema["anyOf"]):
+        yield here
+    if "oneOf" in schema and sum(_fits(value, s) for s in schema["oneOf"]) != 1:
+        yield here
+    if "not" in schema and _fits(value, schema["not"]):
+        yield here
+    if "if" in schema:
+        yield from failures(value, schema.get("then" if _fits(value, schema["if"]) else "else", True), path)
+
+
 def failures(value, schema, path: str = ""):
     """Pointers of the members that break the schema, one per broken keyword."""
     if schema is True or schema == {}:
@@ -49,6 +78,7 @@ def failures(value, schema, path: str = ""):
         yield here
     if "const" in schema and not _same(value, schema["const"]):
         yield here
+    yield from _combined(value, schema, path)
     if _KINDS["number"](value):
         for k, broken in (("minimum", lambda a, b: a < b), ("maximum", lambda a, b: a > b), ("exclusiveMinimum", lambda a, b: a <= b), ("exclusiveMaximum", lambda a, b: a >= b), ("multipleOf", lambda a, b: (a / b) % 1 != 0)):
             if k in schema and broken(value, schema[k]):
@@ -61,14 +91,25 @@ def failures(value, schema, path: str = ""):
     if isinstance(value, list):
         if schema.get("uniqueItems") and len({canon.canonical(x) for x in value}) != len(value):
             yield here
+        first = schema.get("prefixItems", [])
+        for k, (x, s) in enumerate(zip(value, first)):
+            yield from failures(x, s, f"{path}/{k}")
         if "items" in schema:
-            for k, x in enumerate(value):
+            for k, x in enumerate(value[len(first):], len(first)):
                 yield from failures(x, schema["items"], f"{path}/{k}")
+        if "contains" in schema:
+            n = sum(_fits(x, schema["contains"]) for x in value)
+            if not schema.get("minContains", 1) <= n <= schema.get("maxContains", n):
+                yield here
     if isinstance(value, dict):
         known = schema.get("properties", {})
         for name in schema.get("required", []):
             if name not in value:
                 yield here
+        if any(name in value and not set(needed) <= value.keys() for name, needed in schema.get("dependentRequired", {}).items()):
+            yield here
+        if "propertyNames" in schema and not all(_fits(k, schema["propertyNames"]) for k in value):
+            yield here
         rest = [k for k in value if k not in known]
         extra = schema.get("additionalProperties", True)
         if extra is False and rest:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fieldtrace.functions import text
 from fieldtrace.operators import hierarchy as H, taxonomy as T
@@ -11,6 +11,8 @@ from fieldtrace.queries.registry import Registry
 from fieldtrace.runtime import cut, spread, table
 
 query = Registry()
+#: Class centres that meet the vectors at once.
+CENTRES = 2_000
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +68,8 @@ dw AS (SELECT leaf_id, token, tf * idf AS w FROM dc JOIN w USING (token)), dn AS
 qt AS (SELECT listing_id, {_TOK.format('product_name')} AS token FROM products), qc AS (SELECT listing_id, token, count(*) AS tf FROM qt GROUP BY ALL),
 qw AS (SELECT listing_id, token, tf * idf AS w FROM qc JOIN w USING (token)), qn AS (SELECT listing_id, sqrt(sum(w * w)) AS qn FROM qw GROUP BY listing_id),
 s AS (SELECT q.listing_id, d.leaf_id, sum(q.w * d.w) AS dot FROM qw q JOIN dw d USING (token) GROUP BY ALL),
-f AS (SELECT listing_id, leaf_id, round(dot / (dn * qn), 6) AS similarity FROM s JOIN dn USING (leaf_id) JOIN qn USING (listing_id))
+m AS (SELECT listing_id, leaf_id, round(dot / (dn * qn), 6) AS similarity FROM s JOIN dn USING (leaf_id) JOIN qn USING (listing_id)),
+f AS (SELECT * FROM m UNION ALL SELECT p.listing_id, l.leaf_id, 0.0 FROM products p, leaf l WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.listing_id = p.listing_id AND m.leaf_id = l.leaf_id))
 SELECT listing_id, leaf_id, similarity, CAST(row_number() OVER (PARTITION BY listing_id ORDER BY similarity DESC, leaf_id) AS INT) AS rank FROM f QUALIFY rank <= """
 
 
@@ -103,25 +106,30 @@ def ngram_topk(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH c AS (SELECT label, unnest(range(1, 65)) AS i, unnest(embedding) AS x FROM embeddings), m AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS x FROM c GROUP BY label, i),
 v AS (SELECT label, list(x ORDER BY i) AS centre FROM m GROUP BY label),
 s AS (SELECT e.vec_id, v.label AS leaf, round(list_dot_product(CAST(e.embedding AS DOUBLE[]), v.centre), 6) AS score FROM embeddings e, v)
-SELECT vec_id, leaf, score, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, leaf) AS INT) AS rank FROM s QUALIFY rank <= 3""")
+SELECT vec_id, leaf, score, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, leaf) AS INT) AS rank FROM s QUALIFY rank <= 20""")
 def embed_shortlist(spark: SparkSession, d: str) -> DataFrame:
-    """The three nearest class centres of every vector by dot product.
+    """The twenty nearest class centres of every vector by dot product.
 
-    The centres are aggregated by class and position; as one row of arrays per
-    class they travel with each vector through a one-row aggregate.
+    The centres are aggregated by class and position. They meet the vectors in
+    blocks of ``CENTRES``: a block's best twenty are kept, and the best twenty
+    of all blocks are the answer, so any number of classes has an exact way.
     """
     e = table(spark, d, "embeddings")
     parts = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     centres = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centre"))
-    held = centres.limit(10_001).collect()  # class centres: their number is checked
-    if len(held) > 10_000:
-        raise ValueError("too many classes for a shortlist by class centres")
-    if not held:
+    numbered = cut(centres.withColumn("block", (F.row_number().over(Window.orderBy("label")) - 1) / CENTRES).withColumn("block", F.col("block").cast("int")))  # one row per class
+    blocks = [r["block"] for r in numbered.select("block").distinct().orderBy("block").collect()]
+    if not blocks:
         return e.select("vec_id", F.lit(0).alias("leaf"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     dot = lambda c: F.aggregate(F.zip_with("embedding", F.array(*map(F.lit, c)), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, v: a + v)
-    scores = F.array_sort(F.array(*[F.struct((-F.round(dot(r["centre"]), 6)).alias("neg"), F.lit(r["label"]).alias("leaf")) for r in held]))
-    best = e.select("vec_id", F.posexplode(F.slice(scores, 1, 3)).alias("pos", "s"))
-    return best.select("vec_id", "s.leaf", (-F.col("s.neg")).alias("score"), (F.col("pos") + 1).alias("rank"))
+    best = None
+    for block in blocks:
+        held = numbered.filter(F.col("block") == block).collect()  # at most CENTRES rows
+        scores = F.array_sort(F.array(*[F.struct((-F.round(dot(r["centre"]), 6)).alias("neg"), F.lit(r["label"]).alias("leaf")) for r in held]))
+        mine = e.select("vec_id", F.slice(scores, 1, 20).alias("best"))
+        best = mine if best is None else cut(best.unionByName(cut(mine)).groupBy("vec_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, 20).alias("best")))  # two lists of twenty
+    told = best.select("vec_id", F.posexplode("best").alias("pos", "s"))
+    return told.select("vec_id", "s.leaf", (-F.col("s.neg")).alias("score"), (F.col("pos") + 1).alias("rank"))
 
 
 @query("""SELECT listing_id, canon_id FROM (SELECT listing_id, CAST(json_extract_string(technical_specs, '$.Category') AS VARCHAR) AS x, category FROM products) p JOIN canonical_categories c ON c.name = p.category AND c.level = 'category'""")
@@ -163,7 +171,7 @@ def prompt_whole(spark: SparkSession, d: str) -> DataFrame:
     told = cut(p.select(
         "listing_id", F.coalesce("product_name", F.lit("")).alias("name"), F.coalesce("short_description", F.lit("")).alias("description"),
         F.coalesce(F.array_join(F.slice(each("- ", ": "), 1, 10), "\n"), raw, F.lit("")).alias("lines"), F.concat_ws(" ", "product_name", "short_description", F.coalesce(F.array_join(each("", " "), " "), raw)).alias("text")))
-    ranked = T.rank(told, "listing_id", "text", _leaf_texts(spark, d), 30)
+    ranked = T.rank(told, "listing_id", "text", _leaf_texts(spark, d), 30, fill=False)
     c = table(spark, d, "canonical_categories")
     up = c.select(F.col("canon_id").alias("parent_canon_id"), F.col("name").alias("parent_name"))
     paths = c.withColumn("parent_canon_id", F.col("parent_canon_id").cast("int")).join(up, "parent_canon_id", "left").select(F.col("canon_id").alias("leaf_id"), F.concat_ws(" > ", "parent_name", "name").alias("path"))

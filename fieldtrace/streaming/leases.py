@@ -80,7 +80,7 @@ class _Leases(StatefulProcessor):
     def _held(self) -> tuple:
         return tuple(self.state.get()) if self.state.exists() else START
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802 - Spark's name
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
         state, told = self._held(), []
         f = pd.concat(list(rows)).sort_values("seq")  # one job's events of one batch
         for row in f.itertuples(index=False):
@@ -92,9 +92,9 @@ class _Leases(StatefulProcessor):
         self.state.update(state)
         yield pd.DataFrame(told, columns=["job", "seq", "kind", "outcome", "generation"])
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802 - Spark's name
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
         name, owner, generation, attempts, until = self._held()
-        if name == "running" and int(until * 1000) <= expired.getExpiryTimeInMs():  # not extended since
+        if name == "running" and int(until * 1000) <= expiredTimerInfo.getExpiryTimeInMs():  # not extended since
             self.state.update(("queued", None, generation, attempts, 0.0))
             yield pd.DataFrame([(key[0], None, "timer", "expired", generation)], columns=["job", "seq", "kind", "outcome", "generation"]).astype({"seq": "Int64"})
 

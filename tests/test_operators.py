@@ -105,8 +105,11 @@ def test_evaluation(spark):
 def test_ranking(spark):
     leaf = spark.createDataFrame([(1, "Drill power tools"), (2, "Saw power tools"), (3, "")], "leaf_id int, text string")
     q = spark.createDataFrame([(10, "a POWER drill"), (11, "saw"), (12, "nothing here"), (13, None)], "q int, t string")
-    got = T.rank(q, "q", "t", leaf, 1)
-    assert {(r["q"], r["leaf_id"], r["rank"]) for r in got.collect()} == {(10, 1, 1), (11, 2, 1)}
+    told = lambda limit, fill: {(r["q"], r["leaf_id"], r["rank"]) for r in T.rank(q, "q", "t", leaf, limit, fill).collect()}
+    assert told(1, False) == {(10, 1, 1), (11, 2, 1)}
+    assert told(1, True) == {(10, 1, 1), (11, 2, 1), (12, 1, 1), (13, 1, 1)}
+    assert told(5, True) == {(10, 1, 1), (10, 2, 2), (10, 3, 3), (11, 2, 1), (11, 1, 2), (11, 3, 3), (12, 1, 1), (12, 2, 2), (12, 3, 3), (13, 1, 1), (13, 2, 2), (13, 3, 3)}
+    assert T.rank(q, "q", "t", leaf.limit(0), 5).count() == 0
 
 
 def test_audit(spark):
