@@ -63,6 +63,9 @@ _MEASURE = rf"(?<![\p{{L}}\p{{N}}.,/-])(\p{{Nd}}+(?:[.,]\p{{Nd}}+)?)\s*({_UNIT})
 # a decimal mark lost as a blank: "2 5 kg"
 _LOST_MARK = rf"(?<![\p{{L}}\p{{N}}.,])(\p{{Nd}}) (\p{{Nd}}) ?(kw|m|kg|l|ltr|litre|liter)(?![\p{{L}}\p{{N}}])"
 _TOKEN = r"[\p{L}\p{M}\p{N}]+"
+#: Blanks and marks of registration; these and other marks.
+_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000®©™"
+_MARKS = _BLANKS + ".,;:!?/|\\-–—_()[]{}<>+&*#'\"’„“”·•…="
 _COLOUR_OF = {w: c for c, ws in COLOURS.items() for w in ws}
 
 
@@ -72,14 +75,19 @@ def _literal_map(entries: dict) -> Column:
 
 def clean(text: Column) -> Column:
     """Lower case, marks of registration away, one blank between words."""
-    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[®©™]", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"(?U)\s+", " "), _LOST_MARK, "$1.$2 $3"))
+    t = F.translate(F.lower(F.coalesce(text, F.lit(""))), _BLANKS, " " * len(_BLANKS))
+    return F.trim(F.regexp_replace(F.regexp_replace(t, " {2,}", " "), _LOST_MARK, "$1.$2 $3"))
+
+
+def _spaced(text: Column) -> Column:
+    """Lower case, every mark and blank as a blank: cheap, for counting only."""
+    return F.translate(F.lower(text), _MARKS, " " * len(_MARKS))
 
 
 def entries(specs: Column) -> Column:
     """array<struct<k,v>> of a JSON object's entries with one string value; empty for anything else."""
     parsed = F.try_variant_get(F.try_parse_json(specs), "$", "map<string,variant>")
-    each = F.transform(F.map_entries(parsed), lambda e: F.struct(words(e["key"]).alias("k"), F.when(F.schema_of_variant(e["value"]) == "STRING", F.try_variant_get(e["value"], "$", "string")).alias("v")))
+    each = F.transform(F.map_entries(parsed), lambda e: F.struct(F.trim(F.translate(F.lower(e["key"]), ".:;,", "")).alias("k"), F.when(F.schema_of_variant(e["value"]) == "STRING", F.try_variant_get(e["value"], "$", "string")).alias("v")))
     return F.coalesce(F.filter(each, lambda e: e["v"].isNotNull()), F.array().cast("array<struct<k:string,v:string>>"))
 
 
@@ -105,9 +113,9 @@ def identifying_keys(listings: DataFrame) -> tuple[list[str], list[str]]:
     fewer than one of ``KEY_SHARE`` listings are left out, which bounds what
     reaches the driver.
     """
-    title = F.concat(F.lit(" "), words(F.concat_ws(" ", "name", "lead")), F.lit(" "))
+    title = F.concat(F.lit(" "), _spaced(F.concat_ws(" ", "name", "lead")), F.lit(" "))
     each = listings.filter(F.size("e") > 0).select(title.alias("title"), F.explode("e").alias("e"))
-    value = words(F.col("e.v"))
+    value = F.trim(_spaced(F.col("e.v")))
     told = (value != "") & F.contains("title", F.concat(F.lit(" "), value, F.lit(" ")))
     counted = each.groupBy("e.k").agg(F.count("*").alias("n"), F.count_if(told).alias("told"), F.count_if(value.isin(list(_COLOUR_OF))).alias("colours"))
     least = listings.count() / KEY_SHARE
@@ -139,12 +147,13 @@ def tell(listings: DataFrame, keys: list[str], colour_keys: list[str]) -> DataFr
     named = F.transform(F.filter("e", lambda e: e["k"].isin(colour_keys)), lambda e: words(e["v"])) if colour_keys else F.array().cast("array<string>")
     value_colour = F.get(F.filter(named, lambda v: v != ""), F.lit(0))
     tail = F.when(F.contains("lead", F.lit(",")), F.substring_index("lead", ",", -1)).otherwise("")
-    in_text = lambda t: F.try_element_at(colour_of, F.try_element_at(F.filter(F.regexp_extract_all(t, F.lit(_TOKEN), 0), lambda w: w.isin(list(_COLOUR_OF))), F.lit(-1)))
-    colour = F.coalesce(F.try_element_at(colour_of, value_colour), value_colour, in_text(tail), in_text(F.col("name")))
-    name_words, lead_words = split(F.col("name")), split(F.col("lead"))
-    return known.select(
-        "id", "brand", F.concat(name_words, lead_words).alias("title"), split(joined).alias("told"),
-        F.filter(F.transform("values", words), lambda v: v.rlike(r"^[\p{L}\p{N}]+$")).alias("singles"), size.alias("size"), colour.alias("colour"))
+    last_of = lambda ws: F.try_element_at(colour_of, F.try_element_at(F.filter(ws, lambda w: w.isin(list(_COLOUR_OF))), F.lit(-1)))
+    tail_colour = F.when(tail != "", last_of(F.regexp_extract_all(tail, F.lit(_TOKEN), 0)))
+    colour = F.coalesce(F.try_element_at(colour_of, value_colour), value_colour, tail_colour, last_of(F.col("name_words")))
+    taken = known.select("*", split(F.col("name")).alias("name_words"))
+    return taken.select(
+        "id", "brand", F.concat("name_words", split(F.col("lead"))).alias("title"), split(joined).alias("told"),
+        F.filter("values", lambda v: v.rlike(r"^[\p{L}\p{N}]+$")).alias("singles"), size.alias("size"), colour.alias("colour"))
 
 
 def common_words(told: DataFrame) -> list[str]:
