@@ -161,7 +161,9 @@ def prompt_whole(spark: SparkSession, d: str) -> DataFrame:
 
     The leaves are ranked by name, description and all specs. Specs that aren't
     JSON stand as they are; what isn't told is empty. Similarities have six
-    digits. A listing that shares no word with any leaf has no options.
+    digits. There are always thirty options as long as there are so many leaves:
+    those that share no word with the listing follow with similarity 0, least ids
+    first. They are appended to a listing's list, not joined as rows.
     """
     specs = F.from_json("technical_specs", "map<string,string>")
     entries = F.map_entries("specs")
@@ -171,15 +173,23 @@ def prompt_whole(spark: SparkSession, d: str) -> DataFrame:
     told = cut(p.select(
         "listing_id", F.coalesce("product_name", F.lit("")).alias("name"), F.coalesce("short_description", F.lit("")).alias("description"),
         F.coalesce(F.array_join(F.slice(each("- ", ": "), 1, 10), "\n"), raw, F.lit("")).alias("lines"), F.concat_ws(" ", "product_name", "short_description", F.coalesce(F.array_join(each("", " "), " "), raw)).alias("text")))
-    ranked = T.rank(told, "listing_id", "text", _leaf_texts(spark, d), 30, fill=False)
+    leaves = _leaf_texts(spark, d)
+    ranked = T.rank(told, "listing_id", "text", leaves, 30, fill=False)
     c = table(spark, d, "canonical_categories")
     up = c.select(F.col("canon_id").alias("parent_canon_id"), F.col("name").alias("parent_name"))
     paths = c.withColumn("parent_canon_id", F.col("parent_canon_id").cast("int")).join(up, "parent_canon_id", "left").select(F.col("canon_id").alias("leaf_id"), F.concat_ws(" > ", "parent_name", "name").alias("path"))
     option = F.concat(F.lit("ID: "), "leaf_id", F.lit(" | Similarity: "), F.format_string("%.6f", "similarity"), F.lit(" | Path: "), "path")
-    options = ranked.join(paths, "leaf_id").groupBy("listing_id").agg(F.array_sort(F.collect_list(F.struct("rank", option.alias("option")))).alias("o"))  # thirty at most
-    options = options.select("listing_id", F.array_join(F.transform("o", lambda x: x["option"]), "\n").alias("options"))
-    context = F.concat(F.lit("Name: "), "name", F.lit("\nDescription: "), "description", F.lit("\nTechnical Specifications:\n"), "lines", F.lit("\nMOST RELEVANT CLASSIFICATION OPTIONS:\n"), F.coalesce("options", F.lit("")))
-    return told.join(options, "listing_id", "left").select("listing_id", context.alias("context"))
+    placed = F.struct((-F.col("similarity")).alias("neg"), "leaf_id", option.alias("option"))
+    # a list with p leaves above 0 lacks 30 - p, and at most p of the thirty least ids are on it
+    zeros = leaves.filter("leaf_id is not null").select("leaf_id").orderBy("leaf_id").limit(30).join(paths, "leaf_id").withColumn("similarity", F.lit(0.0))
+    least = F.broadcast(zeros.agg(F.array_sort(F.collect_list(placed)).alias("least")))
+    shared = ranked.join(paths, "leaf_id").groupBy("listing_id").agg(F.collect_list(placed).alias("o"))  # thirty at most
+    told = told.join(shared, "listing_id", "left").crossJoin(least)
+    others = F.filter("least", lambda x: ~F.exists("o", lambda y: y["leaf_id"] == x["leaf_id"]))
+    best = F.slice(F.array_sort(F.coalesce(F.concat("o", others), "least")), 1, 30)
+    options = F.array_join(F.transform(best, lambda x: x["option"]), "\n")
+    context = F.concat(F.lit("Name: "), "name", F.lit("\nDescription: "), "description", F.lit("\nTechnical Specifications:\n"), "lines", F.lit("\nMOST RELEVANT CLASSIFICATION OPTIONS:\n"), options)
+    return told.select("listing_id", context.alias("context"))
 
 
 @query(_P1 + """ SELECT scheme_id, CAST(depth AS INT) AS depth, count(*) AS nodes FROM solved JOIN latest USING (id) GROUP BY scheme_id, depth""")

@@ -243,3 +243,22 @@ def test_whole_prompt(spark, tmp_path):
     assert len(got[1]) == 14 + 30 and all(x.startswith("ID: ") and " | Path: Chemistry > Glue " in x for x in got[1][14:])
     assert got[2][:5] == ["Name: Glue", "Description: ", "Technical Specifications:", "not json", head] and len(got[2]) == 35
     assert got[3] == ["Name: ", "Description: ", "Technical Specifications:", "", head, ""] and got[4][3:] == ["", head, ""]
+
+
+def test_whole_prompt_always_has_thirty_options(spark, tmp_path):
+    import duckdb
+
+    from fieldtrace.queries import taxonomy
+
+    rows = [(1, "Tile glue", "for leaf 40", '{"a":"b"}'), (2, "nothing", None, "{}"), (3, None, None, None), (4, "glue " + " ".join(f"leaf{k}" for k in range(40)), None, None)]
+    spark.createDataFrame(rows, "listing_id long, product_name string, short_description string, technical_specs string").write.parquet(f"{tmp_path}/products.parquet")
+    leaves = [(100 + k, "Glue" if k in (3, 39) else f"leaf{k}", "subcategory", "1", []) for k in range(40)]
+    spark.createDataFrame([(1, "Chemistry", "category", None, []), *leaves], "canon_id int, name string, level string, parent_canon_id string, aliases array<string>").write.parquet(f"{tmp_path}/canonical_categories.parquet")
+    got = {r["listing_id"]: r["context"] for r in taxonomy.prompt_whole(spark, str(tmp_path)).collect()}
+    sql = duckdb.connect()
+    for name in ("products", "canonical_categories"):
+        sql.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert got == dict(sql.execute(taxonomy.SQL["prompt_whole"]).fetchall())
+    ids = {k: [int(x.split()[1]) for x in c.split("\n") if x.startswith("ID: ")] for k, c in got.items()}
+    assert ids[1] == [103, 139, *(100 + k for k in range(29) if k != 3)] and ids[2] == ids[3] == list(range(100, 130)) and len(ids[4]) == 30
+    assert "ID: 100 | Similarity: 0.000000 | Path: Chemistry > leaf0" in got[2]
