@@ -41,6 +41,8 @@ HOST_PRIOR = 20.0
 THRESHOLD = 0.5
 #: Words of a window in which repetition is measured, so that long pages compare with short ones.
 WINDOW = 60
+#: Characters that are encoded at once when a text is compressed.
+PACKED_CHARS = 1 << 20
 
 # Frequent function words of the corpus' languages.
 FUNCTION_WORDS = set((
@@ -87,7 +89,7 @@ def _stuffed(words: list[str], passes) -> bool:
     _, most = pairs.most_common(1)[0]
     if most >= 3 and 2 * most >= 0.2 * n:
         return True
-    single = max((c for w, c in counts.items() if not passes(w)), default=0)
+    single = max([c for w, c in counts.items() if not passes(w)], default=0)
     return single >= 3 and single >= 0.2 * n
 
 
@@ -132,6 +134,16 @@ def doubtful(text: str | None) -> float | None:
     return (links + tags + keyword + stuffed) / told if told > unknown else None
 
 
+def _shrink(text: str) -> float:
+    """Compressed bytes over bytes of the whole text, encoded part by part."""
+    packer, size, packed = zlib.compressobj(1), 0, 0
+    for at in range(0, len(text), PACKED_CHARS):
+        raw = text[at:at + PACKED_CHARS].encode("utf-8", "ignore")
+        size += len(raw)
+        packed += len(packer.compress(raw))
+    return (packed + len(packer.flush())) / max(1, size)
+
+
 def features(text: str | None, host: str | None = None) -> tuple:
     """(pieces, *FEATURES) of one text; zeros for null, empty and blank ones."""
     low = (text or "").lower()
@@ -167,7 +179,7 @@ def features(text: str | None, host: str | None = None) -> tuple:
         every += words
         separators += len(_SEPARATOR.findall(segment))
         end = segment[-1] in ".!?\u061f。!?।"
-        few = sum(len(w) <= 3 for w in words)
+        few = sum([len(w) <= 3 for w in words])
         if few > n / 2 and not segment.isascii() and sum(w > "\u2fff" or "\u0e00" <= w <= "\u0e7f" for w in words) > n / 2:
             few = n // 3 if end else 0  # scripts without blanks show no short words: the end of a sentence stands for them
         short += few
@@ -189,8 +201,9 @@ def features(text: str | None, host: str | None = None) -> tuple:
     s, w, k = max(1, len(sizes)), max(1, words_n), max(1, len(found))
     distinct = top = pair = 0.0
     windows = 0
-    for at in range(0, max(1, words_n - WINDOW // 2), WINDOW):
-        part = every[at:at + WINDOW]
+    last = (words_n - WINDOW // 2 - 1) // WINDOW * WINDOW  # its window takes a rest of up to half a window with it
+    for at in range(0, max(0, last) + 1, WINDOW):
+        part = every[at:at + WINDOW] if at < last else every[at:]
         m = len(part)
         if m < 2:
             continue
@@ -200,12 +213,11 @@ def features(text: str | None, host: str | None = None) -> tuple:
             continue
         counts = Counter(part)
         distinct += len(counts) / m
-        top += max((c for x, c in counts.items() if len(x) > 3), default=0) / m
+        top += max([c for x, c in counts.items() if len(x) > 3], default=0) / m
         pair += max(Counter(zip(part, part[1:])).values()) * 2 / m
     v = max(1, windows)
     mean = words_n / s
-    raw = low[:200_000].encode("utf-8", "ignore")  # the packer's window is far smaller than this
-    shrink = len(zlib.compress(raw, 1)) / max(1, len(raw))
+    shrink = _shrink(low)
     return (
         pieces, links / whole, tags / whole, len(found) / s, len(hosts) / k, own / k, anchors / max(1, links),
         ended / whole, joined / whole, listed / whole, figures / whole, stuffed / whole, separators / w, short / w,

@@ -126,3 +126,20 @@ def test_features_of_odd_texts():
     assert spam.features("x" * 200_000)[0] == 1
     f = dict(zip(["pieces", *spam.FEATURES], spam.features("see https://a.example/x and [label](https://b.example/y)", "a.example")))
     assert f["hosts_per_link"] == 1 and f["self_links"] == 0.5 and f["anchor_share"] > 0
+
+
+def test_features_use_the_end_of_a_text(monkeypatch):
+    told = lambda text: dict(zip(["pieces", *spam.FEATURES], spam.features(text)))
+    rnd = random.Random(2)
+    again = "The seal holds on a wet wall. " * 7_000
+    other = " ".join("".join(rnd.choices("abcdefghijжé", k=9)) for _ in range(21_000))
+    assert len(again) > 200_000 and len(other) > 200_000
+    alone, first, after = told(again)["shrink"], told(again + other)["shrink"], told(other + again)["shrink"]
+    assert alone < 0.02 and first > 0.2 and abs(first - after) < 0.02
+    monkeypatch.setattr(spam, "PACKED_CHARS", 1_000)
+    assert abs(told(again + other)["shrink"] - first) < 0.001 and told("")["shrink"] == 0
+    # words behind the last full window
+    words = [f"{a}{b}word" for a in "abcdefghij" for b in "klmnop"]
+    for rest in (2, 29, 30, 31, 89, 90):
+        assert told(" ".join(words + ["valve"] * rest))["window_distinct"] < 1, rest
+    assert told(" ".join(words + ["valve"] * 29))["window_top"] == 29 / 89
